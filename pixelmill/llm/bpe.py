@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NONE = (1 << 31) - 1
@@ -347,3 +348,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], out.cast(pa.binary())], names=[*keep, "decoded"])
 
     return encoded.select(*[encoded[c] for c in keep], encoded[ids].alias("decoded")).mapInArrow(run, schema)
+
+
+def digest(decoded: DataFrame) -> DataFrame:
+    """``decoded`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` in place of ids and bytes."""
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    digests = {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(joined, 256), "decoded_sha256": F.sha2("decoded", 256)}
+    return decoded.withColumns(digests).drop("ids", "decoded")
