@@ -309,16 +309,16 @@ def _encoder(blob: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _with(docs: DataFrame, name: str, kind: T.DataType) -> tuple[list[str], T.StructType]:
-    keep = [c for c in docs.columns if c.lower() != name]
+def _with(docs: DataFrame, name: str, kind: T.DataType, carry: list[str] | None) -> tuple[list[str], T.StructType]:
+    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() != name]
     return keep, T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array<int>), the text's tokens under the rank file at ``path`` (read by the driver)."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) with ``ids`` (array<int>), the text's tokens under the rank file at ``path`` (read by the driver)."""
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: under 2 MB
-    keep, schema = _with(docs, "ids", T.ArrayType(T.IntegerType()))
+    keep, schema = _with(docs, "ids", T.ArrayType(T.IntegerType()), carry)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
@@ -334,7 +334,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded`` (binary), the bytes of its tokens."""
     with open(path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
-    keep, schema = _with(encoded, "decoded", T.BinaryType())
+    keep, schema = _with(encoded, "decoded", T.BinaryType(), None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = {int(b): base64.b64decode(a) for a, b in (line.split() for line in shared.value.splitlines() if line)}

@@ -233,9 +233,9 @@ def finder(field: Crf):
     return find
 
 
-def detect(docs: DataFrame, text: str = "text", field: Crf | None = None) -> DataFrame:
-    """``docs`` with ``spans``: kind, start, end, and whether a fixed pattern found it."""
-    return spans.with_spans(docs, finder(field or default_field()), KINDS, text)
+def detect(docs: DataFrame, text: str = "text", field: Crf | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) with ``spans``: kind, start, end, and whether a fixed pattern found it."""
+    return spans.with_spans(docs, finder(field or default_field()), KINDS, text, carry=carry)
 
 
 def redact(docs: DataFrame, text: str = "text", field: Crf | None = None) -> DataFrame:

@@ -103,10 +103,10 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with its measurements (MEASURES, long) and ``failed_bits`` (long)."""
+def ledger(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) with its measurements (MEASURES, long) and ``failed_bits`` (long)."""
     names = [*MEASURES, "failed_bits"]
-    keep = [c for c in docs.columns if c.lower() not in names]
+    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in names]
     source = docs.select(*[docs[c] for c in keep], docs[text].alias("failed_bits"))
     schema = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(m, T.LongType()) for m in MEASURES]])
 
@@ -142,6 +142,6 @@ def ablation(book: DataFrame, policy: Policy = V1) -> DataFrame:
     return x.groupBy(F.col("r.rule").alias("rule")).agg(total(has).alias("n_failed"), total(has & ~rest).alias("n_only"), total(rest).alias("n_without"))
 
 
-def judged(docs: DataFrame, policy: Policy = V1, text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, policy: Policy = V1, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ledger with ``base_failed`` and the policy's verdict ``kept``."""
-    return ledger(docs, text).withColumns({"base_failed": failed(BASE), "kept": ~failed(BASE) & ~failed(policy)})
+    return ledger(docs, text, carry).withColumns({"base_failed": failed(BASE), "kept": ~failed(BASE) & ~failed(policy)})

@@ -13,12 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.digest(pii.detect(_table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carry=["doc_id"])
     return bpe.digest(bpe.decode(encoded, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -27,7 +27,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = quality.judged(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 

@@ -15,9 +15,9 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 Found = tuple[str, int, int, bool]
 
 
-def with_spans(docs: DataFrame, find: Callable[[pa.RecordBatch, str], list[list[Found]]], kinds: tuple[str, ...], text: str = "text", name: str = "spans") -> DataFrame:
-    """``docs`` with the array ``name`` of what ``find`` sees in each row, ordered by start, then kind as in ``kinds``."""
-    keep = [c for c in docs.columns if c.lower() != name]
+def with_spans(docs: DataFrame, find: Callable[[pa.RecordBatch, str], list[list[Found]]], kinds: tuple[str, ...], text: str = "text", name: str = "spans", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) with the array ``name`` of what ``find`` sees in each row, ordered by start, then kind as in ``kinds``."""
+    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() != name]
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, SPANS)])
     place = {k: n for n, k in enumerate(kinds)}
 
