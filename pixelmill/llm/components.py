@@ -26,6 +26,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex is either a centre or linked with one centre only."""
+    ends = edges.select(F.col("u").alias("x"), "v").unionByName(edges.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("v")))
+    return ends.groupBy("x").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("down"), F.count("*").alias("ends")).where("low <> high or (down > 0 and down < ends)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(id, component) for every vertex of the edges (a, b); component is the least id reachable.
 
@@ -33,13 +39,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     """
     pairs = edges.where("a is not null and b is not null and a <> b")
     now = scratch.write(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
-    before, k = None, 0
-    while True:
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum("v")).first())
-        if mark == before or not mark[0]:
-            break
-        before, k = mark, k + 1
+    k = 0
+    while not _settled(now):
+        k += 1
         now = scratch.write(_star(_star(now, True), False), f"{name}{k}")
-        if k > 1:
-            scratch.drop(f"{name}{k - 2}")
-    return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        scratch.drop(f"{name}{k - 1}")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -8,11 +8,12 @@ buckets borrow from a pseudo-random non-empty one, so short documents band like
 2. Registers of representatives are banded. In each bucket of equal bands, members are paired with the least member.
 3. A pair's registers give a Jaccard estimate, corrected for colliding registers; pairs far below the threshold go.
 4. The rest is confirmed on the full shingle sets, recomputed from the texts.
-5. Buckets that still hold several components get further pivots, twice as many each round, against the members of
-   other components, until each member has been a pivot. So no pair that shares a band is left out, yet a bucket whose
-   members are one component, however many, costs rows in proportion to its size.
+5. A bucket whose members not yet tried as pivots are of several components gets further pivots, up to four times as
+   many each round, from the smaller components, each against all members of other components. So no pair that shares a
+   band is left out, yet a bucket that is mostly one component, however large, costs rows in proportion to its size.
 
-With 40 bands of 4 registers a pair at similarity 0.75 shares no band with probability 2.5e-7.
+With 70 bands of 6 registers a pair at similarity 0.75 shares no band with probability 1e-6; one at 0.3 shares one with
+probability 0.05, so large groups of loosely related texts give few candidates.
 
 Null texts, empty texts and texts without words have the empty set and are linked with nothing. Rows without an id are
 kept with a null component. Rows that repeat an id count as one document for linking; each is returned. Columns other
@@ -22,6 +23,7 @@ than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pixelmill.llm import kernel
 from pixelmill.llm.components import components
 from pixelmill.llm.shared import Scratch
 
-SHINGLE, REGISTERS, ROWS, MANTISSA = 5, 160, 4, 10
+SHINGLE, REGISTERS, ROWS, MANTISSA = 5, 420, 6, 10
 NUMERATOR, DENOMINATOR = 75, 100
 #: Standard errors of the estimate below the threshold at which a pair is given up without confirmation.
 MARGIN = 5.0
@@ -56,6 +58,13 @@ def compress(least: np.ndarray) -> np.ndarray:
     return ((32 - length).astype(np.uint16) << np.uint16(MANTISSA)) | (mantissa & np.uint64((1 << MANTISSA) - 1)).astype(np.uint16)
 
 
+@lru_cache(maxsize=2)
+def _borrowing(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket an order of all buckets to borrow from (choice x bucket), and each one's place in it."""
+    place = np.random.default_rng(97).permuted(np.tile(np.arange(k, dtype=np.int32), (k, 1)), axis=1)
+    return np.ascontiguousarray(np.argsort(place, 1).T), place
+
+
 def registers(sets: np.ndarray, at: np.ndarray, k: int = REGISTERS) -> np.ndarray:
     """HyperMinHash registers (rows x k, uint16) of sorted sets; a row of an empty set is all 0."""
     rows = len(at) - 1
@@ -74,17 +83,19 @@ def registers(sets: np.ndarray, at: np.ndarray, k: int = REGISTERS) -> np.ndarra
         filled[cell[where]] = True
     out = compress(least.reshape(rows, k))
     filled = filled.reshape(rows, k)
+    order, place = _borrowing(k)
     open_rows = np.flatnonzero(filled.any(1) & ~filled.all(1))
-    draw, columns = np.random.default_rng(97), np.arange(k)
-    todo = ~filled[open_rows]
-    while len(open_rows):
-        pick = draw.integers(0, k, k)
+    todo, columns = ~filled[open_rows], np.arange(k)
+    for pick in order[:12]:  # the first choices of all rows at once; what is still open after them goes row by row
         take = todo & filled[open_rows][:, pick]
         r, c = np.nonzero(take)
         out[open_rows[r], columns[c]] = out[open_rows[r], pick[c]]
         todo &= ~take
         left = todo.any(1)
         open_rows, todo = open_rows[left], todo[left]
+    for r, wanted in zip(open_rows.tolist(), todo, strict=True):
+        have = np.flatnonzero(filled[r])
+        out[r, wanted] = out[r, have[place[wanted][:, have].argmin(1)]]
     out[~filled.any(1)] = 0
     return out
 
@@ -116,8 +127,8 @@ def bands(sketches: DataFrame, rows: int = ROWS) -> DataFrame:
             n = regs.shape[1] // rows
             packed = np.zeros((len(regs), n), np.uint64)
             for k in range(rows):
-                packed = (packed << np.uint64(16)) | regs[:, k : n * rows : rows]
-            key = kernel.mix(kernel.mix(packed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                packed = kernel.mix(packed * np.uint64(0x9E3779B97F4A7C15) + regs[:, k : n * rows : rows])
+            key = kernel.mix(packed + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), n)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
 
@@ -206,17 +217,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     inside = members.select("key", "id", (F.col("a") == F.col("id")).alias("tried"))
     while True:
         now = inside.join(found, "id", "left").select("key", "id", "tried", F.coalesce("component", "id").alias("component"))
-        open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.when(~F.col("tried"), 1)).alias("left")).where("x < y and left > 1").select("key")
-        inside = scratch.write(now.join(open_keys, "key", "left_semi"), f"open{k}")
+        # every pair with a tried member was compared, so a bucket is open while its untried ones differ
+        untried = now.where("not tried").groupBy("key", "component").agg(F.count("*").alias("n"))
+        largest = untried.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("key", "largest")
+        inside = scratch.write(now.join(largest, "key").select("key", "id", "tried", "component", "largest"), f"open{k}")
         if inside.isEmpty():
             break
         k += 1
-        slot = (F.xxhash64("id", F.lit(k)) % (1 << k)).alias("slot")
-        pivots = inside.where("not tried").groupBy("key", slot).agg(F.min_by(F.struct("id", "component"), "id").alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.component").alias("ca"))
-        pivots = scratch.write(pivots, f"pivots{k}")
-        pairs = inside.join(pivots, "key").where("component <> ca").select("a", F.col("id").alias("b"))
-        links = links.unionByName(link(pairs, k))
-        found = components(links, scratch, f"cc{k}_")
+        slot = (F.xxhash64("id", F.lit(k)) % (4**k)).alias("slot")
+        pivots = inside.where("not tried and component <> largest").groupBy("key", slot).agg(F.min_by(F.struct("id", "component"), "id").alias("p"))
+        pivots = scratch.write(pivots.select("key", F.col("p.id").alias("a"), F.col("p.component").alias("ca")), f"pivots{k}")
+        new = link(inside.join(pivots, "key").where("component <> ca").select("a", F.col("id").alias("b")), k)
+        if not new.isEmpty():
+            links = links.unionByName(new).distinct()
+            found = components(links, scratch, f"cc{k}_")
         tried = pivots.select("key", F.col("a").alias("id"), F.lit(True).alias("now"))
         inside = inside.join(tried, ["key", "id"], "left").select("key", "id", (F.col("tried") | F.col("now").isNotNull()).alias("tried"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
