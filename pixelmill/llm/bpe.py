@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelmill.llm import kernel
+
 NONE = (1 << 31) - 1
 LONG = 256
 #: Chunks and pre-tokens that a worker remembers; beyond it the less used half is forgotten.
-CACHE = 400_000
+CACHE = 250_000
 _WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
 _RUNS = regex.compile(rf"[{_WHITE}] [{_WHITE}]|[{_WHITE}] \Z")
 SPACE_SAFE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -323,9 +325,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
         for batch in batches:
-            ids, at = encoder.encode([t or "" for t in batch.column(len(keep)).to_pylist()])
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists], names=[*keep, "ids"])
+            for a, b, _, _ in kernel.slices(batch, "ids"):
+                part = batch.slice(a, b - a)
+                ids, at = encoder.encode([t or "" for t in part.column(len(keep)).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], names=[*keep, "ids"])
 
     return docs.select(*[docs[c] for c in keep], docs[text].alias("ids")).mapInArrow(run, schema)
 
@@ -339,13 +343,15 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = {int(b): base64.b64decode(a) for a, b in (line.split() for line in shared.value.splitlines() if line)}
         tokens = pa.array([ranks.get(k, b"") for k in range(max(ranks) + 1)], pa.large_binary())
-        for batch in batches:
-            lists = batch.column(len(keep))
-            at = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-            raw = tokens.take(lists.flatten())
-            ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-            out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), raw.buffers()[2]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], out.cast(pa.binary())], names=[*keep, "decoded"])
+        for whole in batches:
+            for row in range(0, whole.num_rows, 500):
+                batch = whole.slice(row, 500)
+                lists = batch.column(len(keep))
+                at = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+                raw = tokens.take(lists.flatten())
+                ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+                out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), raw.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], out.cast(pa.binary())], names=[*keep, "decoded"])
 
     return encoded.select(*[encoded[c] for c in keep], encoded[ids].alias("decoded")).mapInArrow(run, schema)
 
