@@ -8,9 +8,10 @@ buckets borrow from a pseudo-random non-empty one, so short documents band like
 2. Registers of representatives are banded. In each bucket of equal bands, members are paired with the least member.
 3. A pair's registers give a Jaccard estimate, corrected for colliding registers; pairs far below the threshold go.
 4. The rest is confirmed on the full shingle sets, recomputed from the texts.
-5. A bucket whose members not yet tried as pivots are of several components gets further pivots, up to four times as
-   many each round, from the smaller components, each against all members of other components. So no pair that shares a
-   band is left out, yet a bucket that is mostly one component, however large, costs rows in proportion to its size.
+5. Buckets whose other members are still of several components are compared member by member, registers only, in
+   blocks of at most 2 x BLOCK members whose size doesn't grow with the bucket; promising pairs of different components
+   are confirmed likewise. So no pair that shares a band is left out, no pair of rows is made but for promising ones,
+   and a bucket that is one component, however large, costs rows in proportion to its size.
 
 With 70 bands of 6 registers a pair at similarity 0.75 shares no band with probability 1e-6; one at 0.3 shares one with
 probability 0.05, so large groups of loosely related texts give few candidates.
@@ -38,6 +39,7 @@ SHINGLE, REGISTERS, ROWS, MANTISSA = 5, 420, 6, 10
 NUMERATOR, DENOMINATOR = 75, 100
 #: Standard errors of the estimate below the threshold at which a pair is given up without confirmation.
 MARGIN = 5.0
+BLOCK = 256
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -153,10 +155,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((agree - chance) / (1 - chance), 0, 1)
 
 
+_FLOOR = NUMERATOR / DENOMINATOR - MARGIN * float(np.sqrt(NUMERATOR * (DENOMINATOR - NUMERATOR) / DENOMINATOR**2 / REGISTERS))
+
+
 def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) that the set sizes allow and whose estimate is not far below the threshold."""
-    t = NUMERATOR / DENOMINATOR
-    floor = t - MARGIN * float(np.sqrt(t * (1 - t) / REGISTERS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,13 +167,64 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 continue
             regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("ra", "rb")]
             n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            yield batch.select(["a", "b"]).filter(pa.array(estimate(*regs, n, m) >= floor))
+            yield batch.select(["a", "b"]).filter(pa.array(estimate(*regs, n, m) >= _FLOOR))
 
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) * {DENOMINATOR} >= greatest(na, nb) * {NUMERATOR}")
     return sized.mapInArrow(run, "a long, b long")
 
 
+def _block_pairs(part: np.ndarray, i: int, j: int, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, regs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Promising pairs of different components between parts i and j of a bucket, or within i if they are one."""
+    for x in np.flatnonzero(part == i).tolist():
+        others = np.flatnonzero((part == j) & (comps != comps[x]) & ((ids > ids[x]) if i == j else True))
+        small, large = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+        others = others[small * DENOMINATOR >= large * NUMERATOR]
+        if len(others):
+            good = others[estimate(regs[others], regs[x], sizes[others], sizes[x]) >= _FLOOR]
+            yield np.minimum(ids[good], ids[x]), np.maximum(ids[good], ids[x])
+
+
+def promising_in_buckets(inside: DataFrame) -> DataFrame:
+    """Promising pairs (a, b) of different components within buckets, from (key, members, id, component, n, registers)."""
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", "key"), parts).cast("int")
+    placed = inside.withColumns({"parts": parts, "part": own}).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    block = [F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")]
+    dealt = placed.select("key", *block, "part", "id", "component", "n", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[pa.Table]:
+            """Whole groups; one may span batches."""
+            held: list[pa.RecordBatch] = []
+            last = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                marks = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1)
+                cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(marks)], strict=True):
+                    mark = tuple(marks[a])
+                    if mark != last and held:
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    held.append(batch.slice(a, b - a))
+                    last = mark
+            if held:
+                yield pa.Table.from_batches(held)
+
+        for group in groups():
+            if len(group) < 2:
+                continue
+            get = lambda c: group.column(c).to_numpy()  # noqa: B023, E731
+            regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(group), -1)
+            for a, b in _block_pairs(get("part"), group["i"][0].as_py(), group["j"][0].as_py(), get("id"), get("component"), get("n"), regs):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
 
@@ -203,36 +257,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     classes = scratch.write(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     sketches = scratch.write(full.join(classes.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "registers"), "reps")
     banded = scratch.write(bands(sketches), "bands")
-    pivots = banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1").select("key", "a")
-    members = scratch.write(banded.join(pivots, "key").select("key", "a", "id"), "members")
+    pivots = banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
+    members = scratch.write(banded.join(pivots, "key").where("a <> id").select("key", "members", "a", "id"), "members")
     scratch.drop("bands")
 
     def link(pairs: DataFrame, k: int) -> DataFrame:
-        distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        chosen = scratch.write(promising(distinct, sketches), f"chosen{k}")
-        return scratch.write(confirmed(chosen, docs, id, text).distinct(), f"links{k}")
-
-    links = link(members.where("a <> id").select("a", F.col("id").alias("b")), 0)
-    found, k = components(links, scratch, "cc0_"), 0
-    inside = members.select("key", "id", (F.col("a") == F.col("id")).alias("tried"))
-    while True:
-        now = inside.join(found, "id", "left").select("key", "id", "tried", F.coalesce("component", "id").alias("component"))
-        # every pair with a tried member was compared, so a bucket is open while its untried ones differ
-        untried = now.where("not tried").groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = untried.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("key", "largest")
-        inside = scratch.write(now.join(largest, "key").select("key", "id", "tried", "component", "largest"), f"open{k}")
-        if inside.isEmpty():
-            break
-        k += 1
-        slot = (F.xxhash64("id", F.lit(k)) % (4**k)).alias("slot")
-        pivots = inside.where("not tried and component <> largest").groupBy("key", slot).agg(F.min_by(F.struct("id", "component"), "id").alias("p"))
-        pivots = scratch.write(pivots.select("key", F.col("p.id").alias("a"), F.col("p.component").alias("ca")), f"pivots{k}")
-        new = link(inside.join(pivots, "key").where("component <> ca").select("a", F.col("id").alias("b")), k)
-        if not new.isEmpty():
-            links = links.unionByName(new).distinct()
-            found = components(links, scratch, f"cc{k}_")
-        tried = pivots.select("key", F.col("a").alias("id"), F.lit(True).alias("now"))
-        inside = inside.join(tried, ["key", "id"], "left").select("key", "id", (F.col("tried") | F.col("now").isNotNull()).alias("tried"))
+        return scratch.write(confirmed(scratch.write(pairs, f"chosen{k}"), docs, id, text).distinct(), f"links{k}")
+
+    links = link(promising(members.select("a", F.col("id").alias("b")).distinct(), sketches), 0)
+    found = components(links, scratch, "cc0_")
+    # pairs with the pivot are done; a bucket is open while its other members differ
+    others = members.where("members > 2").join(found, "id", "left").select("key", "members", "id", F.coalesce("component", "id").alias("component"))
+    several = others.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    inside = scratch.write(others.join(several, "key", "left_semi"), "open")
+    more = link(promising_in_buckets(inside.join(sketches, "id")).distinct(), 1)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links, scratch, "cc1_")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     by_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     by_class = by_class.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
