@@ -69,5 +69,5 @@ def joined_tags(tags: Column) -> Column:
 
 def legend(text: Column) -> Column:
     """Lines of 'code name' as a map."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.split(x, "\\s+", 2)[0].cast("int"), F.split(x, "\\s+", 2)[1])))
