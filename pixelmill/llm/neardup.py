@@ -119,7 +119,7 @@ def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def bands(sketches: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(key, id) for each band of each sketch; the key hashes the band's number and registers."""
+    """(key, id, n) for each band of each sketch; the key hashes the band's number and registers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +132,10 @@ def bands(sketches: DataFrame, rows: int = ROWS) -> DataFrame:
                 packed = kernel.mix(packed * np.uint64(0x9E3779B97F4A7C15) + regs[:, k : n * rows : rows])
             key = kernel.mix(packed + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), n)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
+            sizes = np.repeat(batch.column("n").to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids), pa.array(sizes)], names=["key", "id", "n"])
 
-    return sketches.select("id", "registers").mapInArrow(run, "key long, id long")
+    return sketches.select("id", "n", "registers").mapInArrow(run, "key long, id long, n long")
 
 
 def collision_rate(n: np.ndarray, m: np.ndarray, k: int = REGISTERS) -> np.ndarray:
@@ -158,8 +159,13 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 _FLOOR = NUMERATOR / DENOMINATOR - MARGIN * float(np.sqrt(NUMERATOR * (DENOMINATOR - NUMERATOR) / DENOMINATOR**2 / REGISTERS))
 
 
+def _sizes_allow(n: str, m: str) -> str:
+    """Whether sets of these sizes can reach the threshold: it spares most pairs the lookup of their registers."""
+    return f"least({n}, {m}) * {DENOMINATOR} >= greatest({n}, {m}) * {NUMERATOR}"
+
+
 def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the set sizes allow and whose estimate is not far below the threshold."""
+    """The pairs (a, b) whose estimate is not far below the threshold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,8 +176,7 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(estimate(*regs, n, m) >= _FLOOR))
 
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) * {DENOMINATOR} >= greatest(na, nb) * {NUMERATOR}")
-    return sized.mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def _block_pairs(part: np.ndarray, i: int, j: int, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, regs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -257,14 +262,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     classes = scratch.write(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     sketches = scratch.write(full.join(classes.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "registers"), "reps")
     banded = scratch.write(bands(sketches), "bands")
-    pivots = banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
-    members = scratch.write(banded.join(pivots, "key").where("a <> id").select("key", "members", "a", "id"), "members")
+    pivots = banded.groupBy("key").agg(F.min(F.struct("id", F.col("n").alias("na"))).alias("p"), F.count("*").alias("members")).where("members > 1").select("key", "p.*", "members").withColumnRenamed("id", "a")
+    members = scratch.write(banded.join(pivots, "key").where("a <> id").select("key", "members", "a", "na", "id", "n"), "members")
     scratch.drop("bands")
 
     def link(pairs: DataFrame, k: int) -> DataFrame:
         return scratch.write(confirmed(scratch.write(pairs, f"chosen{k}"), docs, id, text).distinct(), f"links{k}")
 
-    links = link(promising(members.select("a", F.col("id").alias("b")).distinct(), sketches), 0)
+    links = link(promising(members.where(_sizes_allow("n", "na")).select("a", F.col("id").alias("b")).distinct(), sketches), 0)
     found = components(links, scratch, "cc0_")
     # pairs with the pivot are done; a bucket is open while its other members differ
     others = members.where("members > 2").join(found, "id", "left").select("key", "members", "id", F.coalesce("component", "id").alias("component"))
