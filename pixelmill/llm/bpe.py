@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ LONG = 256
 #: Chunks and pre-tokens that a worker remembers; beyond it the less used half is forgotten.
 CACHE = 250_000
 _WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
+_TWO = regex.compile(rf"[{_WHITE}][{_WHITE}]")
 _RUNS = regex.compile(rf"[{_WHITE}] [{_WHITE}]|[{_WHITE}] \Z")
 SPACE_SAFE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,15 +43,28 @@ class RankQueue:
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
+        self.loaded: dict[int, np.ndarray] = {}  # what buckets held from the start
         self.words = [[0] * ((ranks >> 6 * (k + 1)) + 1) for k in range(3)]
 
+    def _mark(self, rank: int) -> None:
+        for level in self.words:
+            level[rank >> 6] |= 1 << (rank & 63)
+            rank >>= 6
+
+    def load(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Fills the empty queue."""
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        starts = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1]))) if len(ranks) else np.zeros(0, np.int64)
+        for rank, own in zip(ranks[starts].tolist(), np.split(positions, starts[1:]) if len(starts) else [], strict=True):
+            self.loaded[rank] = own
+            self._mark(rank)
+
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.buckets[rank] = [position]
-            for level in self.words:
-                level[rank >> 6] |= 1 << (rank & 63)
-                rank >>= 6
+            self._mark(rank)
         else:
             bucket.append(position)
 
@@ -63,8 +78,9 @@ class RankQueue:
             top = top << 6 | (word & -word).bit_length() - 1
         return top
 
-    def clear(self, rank: int) -> list[int]:
-        out = self.buckets.pop(rank)
+    def clear(self, rank: int) -> tuple[np.ndarray | None, list[int]]:
+        """Empties a bucket: what it held from the start, and what was pushed."""
+        out = self.loaded.pop(rank, None), self.buckets.pop(rank, [])
         for level in self.words:
             level[rank >> 6] &= ~(1 << (rank & 63))
             if level[rank >> 6]:
@@ -112,7 +128,7 @@ def merge_long(vocabulary: Vocabulary, piece: bytes) -> list[int]:
         if r != NONE:
             queue.push(r, k)
     while (r := queue.first()) >= 0:
-        bucket = queue.clear(r)
+        _, bucket = queue.clear(r)
         heapq.heapify(bucket)
         while bucket:
             p = heapq.heappop(bucket)
@@ -159,10 +175,10 @@ def merge_many(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray,
     rank[inner] = vocabulary.pair_ranks(symbols[inner], symbols[inner + 1])
     queue = RankQueue(len(vocabulary.tokens))
     live = np.flatnonzero(rank != NONE)
-    for r, p in zip(rank[live].tolist(), live.tolist(), strict=True):
-        queue.push(r, p)
+    queue.load(rank[live], live)
     while (r := queue.first()) >= 0:
-        p = np.array(queue.clear(r), np.int64)
+        first, pushed = queue.clear(r)
+        p = np.array(pushed, np.int64) if first is None else np.concatenate((first, pushed)) if pushed else first
         p = p[rank[p] == r]
         if not len(p):
             continue
@@ -222,7 +238,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.codes, self.pieces = _Codes(), {}
+        self.codes = _Codes()
+        self.pieces: dict[str, bytes] = {}  # int32 ids
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.used = np.zeros(0, np.int64)
 
@@ -233,41 +250,49 @@ class Encoder:
             raw = p.encode()
             whole = self.vocabulary.ranks.get(raw)
             if whole is not None:
-                self.pieces[p] = (whole,)
+                self.pieces[p] = whole.to_bytes(4, sys.byteorder)
             elif len(raw) > LONG:
-                self.pieces[p] = tuple(merge_long(self.vocabulary, raw))
+                self.pieces[p] = np.array(merge_long(self.vocabulary, raw), np.int32).tobytes()
             else:
                 queue.append(p)
         ids, at = merge_many(self.vocabulary, [p.encode() for p in queue])
-        ids, at = ids.tolist(), at.tolist()
+        raw, at = ids.astype(np.int32).tobytes(), (at * 4).tolist()
         for k, p in enumerate(queue):
-            self.pieces[p] = tuple(ids[at[k] : at[k + 1]])
+            self.pieces[p] = raw[at[k] : at[k + 1]]
 
     def _learn(self) -> None:
         """Encodes the chunks that were new in this batch."""
-        found = [self.match.findall(" " + c if isinstance(c, str) else c[0]) for c in self.codes.new]
+        whole = lambda c: c[0] if isinstance(c, tuple) else c if c[:1] == "\n" else " " + c
+        found = [self.match.findall(whole(c)) for c in self.codes.new]
         self._pieces({p for ps in found for p in ps if p not in self.pieces})
-        ids: list[int] = []
-        sizes: list[int] = []
-        for ps in found:
-            n = len(ids)
-            for p in ps:
-                ids += self.pieces[p]
-            sizes.append(len(ids) - n)
-        self.ids = np.concatenate((self.ids, np.array(ids, np.int32)))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.array(sizes, np.int64))))
+        look = self.pieces.__getitem__
+        chunks = [b"".join(map(look, ps)) for ps in found]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) // 4
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(chunks), np.int32)))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
         self.codes.new = []
         if len(self.pieces) > CACHE:
             self.pieces = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end (int32), and where each text's begin (one more entry than texts)."""
+        """Ids of all texts end to end (int32), and where each text's begin (one more entry than texts).
+
+        The pattern never joins a character to the space after it, so a text is cut before single spaces, and before
+        single line ends, and each chunk is encoded once; only runs of white space need more care.
+        """
         look, rows, sizes = self.codes.__getitem__, [], []
         for text in texts:
-            if not self.split_spaces or _RUNS.search(text):
-                row = [look((text,))]
+            if not self.split_spaces:
+                parts = None
+            elif not _TWO.search(text):
+                parts = text.replace("\n", " \n").split(" ")
+            elif " \n" in text or _RUNS.search(text):
+                parts = None
             else:
                 parts = text.split(" ")
+            if parts is None:
+                row = [look((text,))]
+            else:
                 row = [look((parts[0],)), *map(look, parts[1:])] if parts[0] else list(map(look, parts[1:]))
             rows.append(np.array(row, np.int64))
             sizes.append(len(row))
