@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.functions import geo, names, pixel
-from pixelmill.operators import catalog, composite, labels, patches, resample, split
+from pixelmill.operators import catalog, composite, labels, network, patches, resample, split
 from pixelmill.plans import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,3 +423,31 @@ def reproject_nearest(spark: SparkSession, d: str) -> DataFrame:
     target = t.label_raster(spark, d).select("row", "col")
     source = t.second_raster(spark, d)
     return resample.reprojected_nearest(target, geo.Affine(200780.0, 4151040.0, 640.0, -640.0), source, geo.Affine(-6.5, 38.0, 0.02, -0.02))
+
+
+# --- names, colours, network
+
+
+_URL = names.LABEL_URL.format(version="v200", year="2021", tile="\0").split("\0")
+
+
+@query(f"with {t.GRID_SQL} select ll_tile, '{_URL[0]}' || ll_tile || '{_URL[1]}' as url from grid")
+def label_urls(spark: SparkSession, d: str) -> DataFrame:
+    return t.grid(spark, d).select("ll_tile", names.label_url(F.col("ll_tile"), "2021", "v200").alias("url"))
+
+
+@query("select p_partkey, p_size % 256 / 255.0::double as r, p_partkey % 256 / 255.0::double as g from part")
+def rgb_unit(spark: SparkSession, d: str) -> DataFrame:
+    unit = pixel.rgb_unit(F.array((F.col("p_size") % 256).cast("double"), (F.col("p_partkey") % 256).cast("double")))
+    return t.table(spark, d, "part").select("p_partkey", unit.alias("c")).select("p_partkey", F.col("c")[0].alias("r"), F.col("c")[1].alias("g"))
+
+
+_LAYERS = network.layers(network.Shape())
+
+
+@query("select sum(case kind when 'pair' then 9 * a * b + 9 * b * b + 4 * b when 'up' then 4 * a * b + b else a * b + b end)::bigint as parameters from (values " + ", ".join(f"('{k}', {a}::bigint, {b}::bigint)" for _, k, a, b in _LAYERS) + ") v(kind, a, b)")
+def network_parameters(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(_LAYERS, "name string, kind string, a long, b long")
+    a, b = F.col("a"), F.col("b")
+    size = F.when(F.col("kind") == "pair", 9 * a * b + 9 * b * b + 4 * b).when(F.col("kind") == "up", 4 * a * b + b).otherwise(a * b + b)
+    return rows.agg(F.sum(size).alias("parameters"))
