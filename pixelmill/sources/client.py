@@ -55,7 +55,8 @@ class StacClient:
         """The items as rows of scenes.ITEM."""
         def row(i: dict) -> tuple:
             p = i["properties"]
-            return i["id"], (i.get("datetime") or p.get("datetime") or "").rstrip("Z") or None, i.get("bbox"), (p.get("eo:cloud_cover"), p.get("grid:code")), {k: (v.get("href"),) for k, v in i.get("assets", {}).items()}
+            cloud, box = p.get("eo:cloud_cover"), i.get("bbox")
+            return i["id"], (i.get("datetime") or p.get("datetime") or "").rstrip("Z") or None, box and [float(x) for x in box], (None if cloud is None else float(cloud), p.get("grid:code")), {k: (v.get("href"),) for k, v in i.get("assets", {}).items()}
 
         schema = ITEM.replace("timestamp_ntz", "string", 1)
         df = spark.createDataFrame([row(i) for i in self.items(*args, **kwargs)], schema)
