@@ -86,6 +86,7 @@ def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     found = exploded(source, F.xxhash64, "hash").join(sketch, "hash").where("size >= least")
     candidates = found.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("seen"), F.max("hits").alias("hits")).where("seen >= hits")
     candidates = scratch.write(candidates.select("doc_id", "item_id"), "candidates")
+    scratch.keep_only("items", "candidates")
     texts = source.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     shared = exploded(texts, _joined, "shingle").select("doc_id", "shingle").join(full.select("item_id", "n", "shingle"), "shingle").join(candidates, ["doc_id", "item_id"], "left_semi")
     exact = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"), F.max("n").cast("long").alias("n_item"))

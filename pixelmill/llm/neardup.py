@@ -8,9 +8,10 @@ buckets borrow from a pseudo-random non-empty one, so short documents band like
 2. Registers of representatives are banded. In each bucket of equal bands, members are paired with the least member.
 3. A pair's registers give a Jaccard estimate, corrected for colliding registers; pairs far below the threshold go.
 4. The rest is confirmed on the full shingle sets, recomputed from the texts.
-5. Buckets whose other members are still of several components are compared member by member, registers only, in
-   blocks of at most 2 x BLOCK members whose size doesn't grow with the bucket; promising pairs of different components
-   are confirmed likewise. So no pair that shares a band is left out, no pair of rows is made but for promising ones,
+5. Buckets whose other members are still of several components are compared member by member, without texts, in blocks
+   of at most 2 x BLOCK members whose size doesn't grow with the bucket: by registers, and then, where both sets have no
+   more shingles than there are registers, by 32 bits of every shingle, which can only overstate what sets share.
+   Promising pairs of different components are confirmed likewise. So no pair that shares a band is left out, no pair of rows is made but for promising ones,
    and a bucket that is one component, however large, costs rows in proportion to its size.
 
 With 70 bands of 6 registers a pair at similarity 0.75 shares no band with probability 1e-6; one at 0.3 shares one with
@@ -179,7 +180,29 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(part: np.ndarray, i: int, j: int, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, regs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def brief_sets(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, brief): the low 32 bits of each distinct shingle, ascending, of sets no larger than the registers; else null."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, offsets, data in kernel.slices(batch, "text"):
+                sets, at = kernel.shingle_sets(data, offsets, SHINGLE)
+                low = [np.sort(sets[x:y].astype(np.uint32)).tobytes() if y - x <= REGISTERS else None for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(low, pa.binary())], names=["id", "brief"])
+
+    return docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, "id long, brief binary")
+
+
+def _brief_allow(a: np.ndarray | None, b: np.ndarray | None) -> bool:
+    """Whether what the 32-bit sets share can reach the threshold; True where one is unknown."""
+    if a is None or b is None:
+        return True
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = min(int((b[at] == a).sum()), len(b))
+    return both * DENOMINATOR >= NUMERATOR * (len(a) + len(b) - both)
+
+
+def _block_pairs(part: np.ndarray, i: int, j: int, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, regs: np.ndarray, brief: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Promising pairs of different components between parts i and j of a bucket, or within i if they are one."""
     for x in np.flatnonzero(part == i).tolist():
         others = np.flatnonzero((part == j) & (comps != comps[x]) & ((ids > ids[x]) if i == j else True))
@@ -187,16 +210,17 @@ def _block_pairs(part: np.ndarray, i: int, j: int, ids: np.ndarray, comps: np.nd
         others = others[small * DENOMINATOR >= large * NUMERATOR]
         if len(others):
             good = others[estimate(regs[others], regs[x], sizes[others], sizes[x]) >= _FLOOR]
+            good = good[[_brief_allow(brief[x], brief[y]) for y in good.tolist()]] if len(good) else good
             yield np.minimum(ids[good], ids[x]), np.maximum(ids[good], ids[x])
 
 
 def promising_in_buckets(inside: DataFrame) -> DataFrame:
-    """Promising pairs (a, b) of different components within buckets, from (key, members, id, component, n, registers)."""
+    """Promising pairs (a, b) of different components within buckets, from (key, members, id, component, n, registers, brief)."""
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), parts).cast("int")
     placed = inside.withColumns({"parts": parts, "part": own}).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     block = [F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")]
-    dealt = placed.select("key", *block, "part", "id", "component", "n", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = placed.select("key", *block, "part", "id", "component", "n", "registers", "brief").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[pa.Table]:
@@ -223,7 +247,7 @@ def promising_in_buckets(inside: DataFrame) -> DataFrame:
                 continue
             get = lambda c: group.column(c).to_numpy()  # noqa: B023, E731
             regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(group), -1)
-            for a, b in _block_pairs(get("part"), group["i"][0].as_py(), group["j"][0].as_py(), get("id"), get("component"), get("n"), regs):
+            for a, b in _block_pairs(get("part"), group["i"][0].as_py(), group["j"][0].as_py(), get("id"), get("component"), get("n"), regs, [None if x is None else np.frombuffer(x, np.uint32) for x in group.column("brief").to_pylist()]):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -275,7 +299,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     others = members.where("members > 2").join(found, "id", "left").select("key", "members", "id", F.coalesce("component", "id").alias("component"))
     several = others.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     inside = scratch.write(others.join(several, "key", "left_semi"), "open")
-    more = link(promising_in_buckets(inside.join(sketches, "id")).distinct(), 1)
+    texts = docs.join(inside.select(F.col("id").alias("_open")).distinct(), docs[id].cast("long") == F.col("_open"), "left_semi")
+    brief = scratch.write(brief_sets(texts, id, text).groupBy("id").agg(F.when(F.count("*") == 1, F.first("brief")).alias("brief")), "brief")
+    more = link(promising_in_buckets(inside.join(sketches, "id").join(brief, "id", "left")).distinct(), 1)
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links, scratch, "cc1_")
@@ -283,6 +309,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     by_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     by_class = by_class.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     by_class = scratch.write(by_class, "labels")
+    scratch.keep_only("sketch", "labels")
     out = all_sketches.select("id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left")
     component = F.coalesce(F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")), F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
