@@ -3,13 +3,14 @@
 ``spark.read.format("warc").load(path)`` reads a file or a folder through Arrow's file systems, as the paths of
 ``spark.checkpoint.dir`` are. Partitions are plans of whole files of about ``partition_bytes`` each. Equality and IN
 filters on header columns are pushed down: a record's header is parsed first, and the payload of a record that a filter
-rejects is skipped by a seek, never read; with option ``payload`` set to false no payload is. ``.warc.gz`` files are
-read as streams.
+rejects is skipped, by a seek in plain files; with option ``payload`` set to false no payload is read. ``.warc.gz``
+files are streams: a skipped payload is inflated, but not made into a row.
 
 Columns: warc_type, record_id, target_uri, date, payload_digest, refers_to, page_id, payload_length (of the full payload,
 for revisits also), payload (binary; null for revisits or when not wanted). Damaged files raise an error.
 
-The writer writes a file per task under a temporary name and renames it when the job commits; a repeated or lost task
+The writer compresses each record by itself, as the format has it, unless option ``compression`` is none. It writes a
+file per task under a temporary name and renames it when the job commits; a repeated or lost task
 leaves nothing behind that a reader would see.
 """
 
@@ -168,6 +169,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
+        self.plain = options.get("compression", "gzip").lower() == "none"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _open(self.path)
@@ -187,7 +189,8 @@ class WarcWriter(DataSourceArrowWriter):
                     if refers is not None:
                         headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
                     headers["Content-Type"] = "application/http; msgtype=response"
-                    out.write(record(headers, b"" if refers is not None else _HTTP + payload))
+                    whole = record(headers, b"" if refers is not None else _HTTP + payload)
+                    out.write(whole if self.plain else gzip.compress(whole, 5, mtime=0))
         if not any_row:
             fs.delete_file(name)
             return Written(None)
@@ -197,7 +200,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = _open(self.path)
         for m in messages:
             if m is not None and m.path:
-                fs.move(m.path, f"{root}/part-{m.path.rpartition('/_')[2].removesuffix('.tmp')}.warc")
+                fs.move(m.path, f"{root}/part-{m.path.rpartition('/_')[2].removesuffix('.tmp')}.warc{'' if self.plain else '.gz'}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, _ = _open(self.path)

@@ -78,11 +78,12 @@ def test_archives(spark, tmp_path):
     assert sorted(found, key=repr) == sorted(want, key=repr)
 
 
-def test_pushed_filters_and_skipped_payloads(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_pushed_filters_and_skipped_payloads(spark, compression):
     rows = [(k, "u", "z" * 50_000 if k % 2 else "same") for k in range(20)]
     warc.register(spark)
-    path = f"{shared_dir(spark)}/warc-test"
-    warc.deduplicated(spark.createDataFrame(rows, "page_id long, url string, html string")).select(*[F.col(c).cast("string") for c in ("page_id", "url", "html", "refers_to")]).write.format("warc").mode("append").save(path)
+    path = f"{shared_dir(spark)}/warc-test-{compression}"
+    warc.deduplicated(spark.createDataFrame(rows, "page_id long, url string, html string")).select(*[F.col(c).cast("string") for c in ("page_id", "url", "html", "refers_to")]).write.format("warc").option("compression", compression).mode("append").save(path)
     df = spark.read.format("warc").load(path)
     assert df.where("warc_type = 'response'").count() == 2 and df.where("page_id in ('3', '4')").count() == 2
     assert df.where("warc_type = 'revisit' and payload is not null").count() == 0
