@@ -46,10 +46,14 @@ def missing_by_block(masked: DataFrame, block: int, channels: tuple[str, ...] =
     return masked.groupBy(*keys).agg(F.bround(share, 2).alias("nan_pct"))
 
 
-def season_stack(composite: DataFrame, channels: tuple[str, ...] = pixel.CHANNELS, seasons: tuple[str, ...] = pixel.SEASONS) -> DataFrame:
-    """One row per pixel that every season has, with columns {season}_{channel}: one aggregate in place of three joins."""
+def season_stack(composite: DataFrame, channels: tuple[str, ...] = pixel.CHANNELS, seasons: tuple[str, ...] = pixel.SEASONS, complete: bool = True) -> DataFrame:
+    """One row per pixel, with columns {season}_{channel}: one aggregate in place of three joins.
+
+    Pixels that lack a season are left out, or have nulls for it if not ``complete``.
+    """
     picked = [F.first(F.when(F.col("season") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}") for s in seasons for c in channels]
-    return composite.where(F.col("season").isin(*seasons)).groupBy("row", "col").agg(F.count_distinct("season").alias("n_seasons"), *picked).where(F.col("n_seasons") == len(seasons)).drop("n_seasons")
+    stack = composite.where(F.col("season").isin(*seasons)).groupBy("row", "col").agg(F.count_distinct("season").alias("n_seasons"), *picked)
+    return (stack.where(F.col("n_seasons") == len(seasons)) if complete else stack).drop("n_seasons")
 
 
 def channel_rows(stack: DataFrame, channels: list[str]) -> DataFrame:

@@ -17,6 +17,8 @@ ORACLE_SQL: dict[str, str] = {}
 AOI = {"west": -5.0, "south": 37.0, "east": -4.4, "north": 37.5}
 NAMES = {0: "no data", 1: "trees", 2: "shrubs", 3: "grass", 4: "crops"}
 SEEDS, RADIUS = 20, 1
+#: As many seeds as the reference tries; the queries named _whole and extract_patches take them.
+WHOLE_SEEDS = 200
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -99,6 +101,15 @@ def season_stack(spark: SparkSession, d: str) -> DataFrame:
     return composite.season_stack(_composite(spark, d), ("red", "nir", "ndvi"))
 
 
+_STACKED = tuple(f"{s}_{c}" for s in pixel.SEASONS for c in pixel.CHANNELS)
+_WHOLE_STACK = ", ".join(f"max(case when season = '{s}' then {c} end) as {s}_{c}" for s in pixel.SEASONS for c in pixel.CHANNELS)
+
+
+@query(f'with {t.COMPOSITE_SQL} select "row", col, {_WHOLE_STACK} from composite group by "row", col having count(distinct season) = 4')
+def season_stack_whole(spark: SparkSession, d: str) -> DataFrame:
+    return composite.season_stack(_composite(spark, d))
+
+
 @query("select * from (values " + ", ".join(f"('{n}', {k})" for k, n in enumerate(names.channel_names())) + ") v(channel, place)")
 def channel_names(spark: SparkSession, d: str) -> DataFrame:
     seasons, channels = F.array(*map(F.lit, pixel.SEASONS)), F.array(*[F.lit(b) for b in (*pixel.BANDS, *[i.upper() for i in pixel.INDICES])])
@@ -239,18 +250,18 @@ _SCORED = f'{_KEPT}, sizes as (select seed, count(*) filter (where keep and set_
 _BEST = f"{_SCORED}, best as (select * from scored where covers order by score desc, seed limit 1)"
 
 
-def _kept(spark: SparkSession) -> DataFrame:
-    return split.buffered(split.expanded(split.assigned_by_hash(spark, 5, SEEDS), 4), RADIUS)
+def _kept(spark: SparkSession, seeds: int = SEEDS) -> DataFrame:
+    return split.buffered(split.expanded(split.assigned_by_hash(spark, 5, seeds), 4), RADIUS)
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return split.seed_scores(_kept(spark), labels.patch_class_counts(t.label_raster(spark, d), t.PATCH))
+def _scores(spark: SparkSession, d: str, seeds: int = SEEDS) -> DataFrame:
+    return split.seed_scores(_kept(spark, seeds), labels.patch_class_counts(t.label_raster(spark, d), t.PATCH))
 
 
-def _specs(spark: SparkSession, d: str) -> DataFrame:
-    best = split.best_seed(_scores(spark, d)).select("seed")  # one row: no need to collect it
+def _specs(spark: SparkSession, d: str, seeds: int = SEEDS) -> DataFrame:
+    best = split.best_seed(_scores(spark, d, seeds)).select("seed")  # one row: no need to collect it
     name = F.element_at(F.array(*map(F.lit, split.SETS)), F.col("set_id") + 1)
-    return _kept(spark).where("keep").join(F.broadcast(best), "seed", "left_semi").select("row", "col", name.alias("set_name"))
+    return _kept(spark, seeds).where("keep").join(F.broadcast(best), "seed", "left_semi").select("row", "col", name.alias("set_name"))
 
 
 _SPECS = f"{_BEST}, specs as (select \"row\", col, case set_id when 0 then 'train' when 1 then 'val' else 'test' end as set_name from kept where keep and seed = (select seed from best))"
@@ -286,6 +297,26 @@ def patch_specs(spark: SparkSession, d: str) -> DataFrame:
     return _specs(spark, d)
 
 
+def _whole(sql: str) -> str:
+    """The same SQL over all the reference's seeds."""
+    return sql.replace(f"range(0, {SEEDS}))::int as seed", f"range(0, {WHOLE_SEEDS}))::int as seed")
+
+
+@query(_whole(f"with {_SCORED} select * from scored"))
+def seed_scores_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d, WHOLE_SEEDS)
+
+
+@query(_whole(f"with {_BEST} select * from best"))
+def select_seed_whole(spark: SparkSession, d: str) -> DataFrame:
+    return split.best_seed(_scores(spark, d, WHOLE_SEEDS))
+
+
+@query(_whole(f"with {_SPECS} select * from specs"))
+def patch_specs_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _specs(spark, d, WHOLE_SEEDS)
+
+
 @query()
 def assign_blocks_rng(spark: SparkSession, d: str) -> DataFrame:
     return split.assigned_by_rng(spark, 5, list(range(SEEDS)))
@@ -340,9 +371,66 @@ def train_sample(spark: SparkSession, d: str) -> DataFrame:
     return patches.sampled(_placed(spark, d).where("set_name = 'train'"), 25).select("row", "col", *_USED)
 
 
+# The whole job: all channels of all seasons, every pixel of the grid, and all seeds of the reference.
+
+_WHOLE_FRACTIONS = f"""{_whole(_SPECS)}, {t.COMPOSITE_SQL}, stack as (select "row", col, {_WHOLE_STACK} from composite group by "row", col),
+cells_in as (select cast(s."row" * {t.PATCH} + i as int) as "row", cast(s.col * {t.PATCH} + j as int) as col, s."row" as patch_row, s.col as patch_col, set_name from specs s, (select unnest(range(0, {t.PATCH})) as i), (select unnest(range(0, {t.PATCH})) as j)),
+inside as (select c.*, {", ".join(_STACKED)} from cells_in c left join stack d on d."row" = c."row" and d.col = c.col),
+fractions as (select set_name, patch_row, patch_col, sum({' + '.join(f'case when {c} is null then 1 else 0 end' for c in _STACKED)}) / ({t.PATCH * t.PATCH} * 52)::double as nan_fraction from inside group by all)"""
+_WHOLE_NUMBERED = f"{_WHOLE_FRACTIONS}, numbered as (select *, cast(row_number() over (partition by set_name order by patch_row // 4, patch_col // 4, patch_row, patch_col) - 1 as int) as number from fractions where nan_fraction <= 0.3)"
+_WHOLE_LABELLED = f'{_WHOLE_NUMBERED}, known as (select "class", cast(dense_rank() over (order by "class") - 1 as int) as idx from (select distinct "class" from labels_r where "class" <> 0)), placed as (select i.*, number, coalesce(idx, 255) as idx from inside i join numbered n using (patch_row, patch_col) left join labels_r l on l."row" = i."row" and l.col = i.col left join known k on k."class" = l."class")'
+
+
+def _inside_whole(spark: SparkSession, d: str) -> DataFrame:
+    step = F.sequence(F.lit(0), F.lit(t.PATCH - 1))
+    patch = _specs(spark, d, WHOLE_SEEDS).select(F.col("row").alias("patch_row"), F.col("col").alias("patch_col"), "set_name")
+    rows = patch.select("*", F.explode(step).alias("i")).select("*", F.explode(step).alias("j"))
+    pixels = rows.select((F.col("patch_row") * t.PATCH + F.col("i")).alias("row"), (F.col("patch_col") * t.PATCH + F.col("j")).alias("col"), "patch_row", "patch_col", "set_name")
+    return pixels.join(composite.season_stack(_composite(spark, d), complete=False), ["row", "col"], "left")
+
+
+def _filtered_whole(spark: SparkSession, d: str) -> DataFrame:
+    return patches.kept_patches(patches.missing_fraction(_inside_whole(spark, d), list(_STACKED)), 0.3)
+
+
+def _numbered_whole(spark: SparkSession, d: str) -> DataFrame:
+    return patches.numbered(_filtered_whole(spark, d), 4)
+
+
+def _placed_whole(spark: SparkSession, d: str) -> DataFrame:
+    inside = _inside_whole(spark, d).drop("set_name").join(_numbered_whole(spark, d).select("patch_row", "patch_col", "set_name", "number"), ["patch_row", "patch_col"])
+    placed = inside.join(labels.remapped(t.label_raster(spark, d)).select("row", "col", "idx"), ["row", "col"], "left")
+    return placed.withColumn("idx", F.coalesce("idx", F.lit(pixel.IGNORE)))
+
+
+@query(f"with {_WHOLE_FRACTIONS} select * from fractions where nan_fraction <= 0.3")
+def patch_nan_filter_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _filtered_whole(spark, d)
+
+
+@query(f"with {_WHOLE_NUMBERED} select set_name, patch_row, patch_col, number from numbered")
+def patch_numbering_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered_whole(spark, d).select("set_name", "patch_row", "patch_col", "number")
+
+
+@query(f"with {_WHOLE_LABELLED} select set_name, idx, count(*) as n from placed where idx <> 255 group by all")
+def split_class_counts_whole(spark: SparkSession, d: str) -> DataFrame:
+    return patches.split_class_counts(_placed_whole(spark, d))
+
+
+@query(f"with {_WHOLE_NUMBERED} select set_name, count(*) as n_patches from numbered group by all")
+def split_patch_counts_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered_whole(spark, d).groupBy("set_name").agg(F.count("*").alias("n_patches"))
+
+
+@query(f"with {_WHOLE_LABELLED} select \"row\", col, {', '.join(_STACKED)} from placed where set_name = 'train' and (\"row\" * 7919 + col * 104729) % 100 < 25")
+def train_sample_whole(spark: SparkSession, d: str) -> DataFrame:
+    return patches.sampled(_placed_whole(spark, d).where("set_name = 'train'"), 25).select("row", "col", *_STACKED)
+
+
 @query()
 def extract_patches(spark: SparkSession, d: str) -> DataFrame:
-    return patches.tensors(_placed(spark, d), list(_USED), t.PATCH)
+    return patches.tensors(_placed_whole(spark, d), list(_STACKED), t.PATCH)
 
 
 _STATS = f"{t.VALUES_SQL}, stats as (select channel, quantile_cont(value, 0.01) as low, quantile_cont(value, 0.99) as high, median(value) as median, avg(value) as mean, stddev_pop(value) as std from vals group by channel)"
