@@ -2,7 +2,8 @@
 
 A text is cut into atoms at line ends and after sentence punctuation, and each atom is normalised to lower-case words.
 Known licence sentences, normalised alike, have identifiers; a sentence may span several atoms, so from each atom that
-starts like a known sentence, runs of up to WIDTH atoms are looked up. The identifiers in order of position are then
+is the start of a known sentence, as many atoms are joined as the longest known sentence has words, and the longest known
+sentence that begins them and ends where an atom ends is taken: lines may be wrapped at any width. The identifiers in order of position are then
 matched against rules: a rule is a licence and the sequence of identifiers that it needs, one right after another, with
 any unknown text between. Everything stays in the row: no shuffle, and nothing to skew.
 
@@ -18,6 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Atoms of a sentence in :func:`oracle_sql`; :func:`recognise` has no such bound.
 WIDTH = 8
 
 # Sentences of public licences and notices.
@@ -84,7 +86,9 @@ def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] | N
     keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("sentences", "licenses")]
     known = {normalised(s): k for k, s in sentences.items()}
     covered = all(re.search(_HINT, re.sub("[^a-z0-9]+", " ", s.lower())) for s in sentences.values())
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    longest = max(len(s.split()) for s in known)
+    # literals, longest first: the first that fits is the longest
+    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(k).alias("id")) for s, k in sorted(known.items(), key=lambda x: -len(x[0]))])
     hint = F.translate(docs[text], string.ascii_uppercase, string.ascii_lowercase)
     wanted = F.regexp_replace(hint, "[^a-z0-9]+", " ").rlike(_HINT) if covered else F.lit(True)
     none = F.array().cast("array<string>")
@@ -93,8 +97,12 @@ def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] | N
 
     def at(i: Column) -> Column:
         """The identifier of the longest known sentence that starts at atom i."""
-        runs = [table[F.array_join(F.slice(a, i + 1, n), " ")] for n in range(WIDTH, 0, -1)]
-        return F.when(F.get(a, i).rlike(_starts(sentences)), F.coalesce(*runs))
+        begun = F.exists(table, lambda k: F.startswith(F.concat(k.s, F.lit(" ")), F.concat(F.get(a, i), F.lit(" "))))
+        # an array of one, so that the joined atoms are made once
+        joined = F.array(F.concat(F.array_join(F.slice(a, i + 1, longest), "\n"), F.lit("\n")))
+        fits = lambda x, k: F.startswith(F.translate(x, "\n", " "), k.s) & (F.substr(x, F.length(k.s) + 1, F.lit(1)) == "\n")
+        found = F.transform(joined, lambda x: F.get(F.filter(table, lambda k: fits(x, k)), F.lit(0)).id)
+        return F.when(F.get(a, i).rlike(_starts(sentences)) & begun, F.get(found, F.lit(0)))
 
     indexes = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
     found = cut.withColumn("sentences", F.filter(F.transform(indexes, at), lambda x: x.isNotNull()))

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,16 @@ def test_every_licence_sentence_is_found(spark):
     assert all(got[k] == [name] for k, (name, _) in rows)
 
 
+@pytest.mark.parametrize("width", [1, 12, 30, 54])
+def test_licence_sentences_at_any_wrap(spark, width):
+    wrap = lambda s, mark: "\n".join(mark + x for x in textwrap.wrap(s, width, break_long_words=False, break_on_hyphens=False))
+    rows = [(f"{k}{mark}", f"{mark}Some code.\n{wrap(s, mark)}\nand more") for k, s in licenses.SENTENCES.items() for mark in ("", " * ")]
+    got = {r.doc_id: r.sentences for r in licenses.recognise(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {f"{k}{mark}": [k] for k in licenses.SENTENCES for mark in ("", " * ")}
+    mit = "\n".join(wrap(licenses.SENTENCES[k], "# ") for k in ("mit-grant", "mit-notice", "mit-asis"))
+    assert licenses.recognise(spark.createDataFrame([(1, mit)], "doc_id long, text string")).first().licenses == ["MIT"]
+
+
 def test_contained(spark, odd, none):
     r = random.Random(6)
     word = lambda: "".join(r.choice("aeiourst") for _ in range(4))
