@@ -3,7 +3,9 @@
 Two order-two character models, one of random strings and one of ordinary identifiers and words, are trained from
 :func:`labelled` samples. A candidate, a run of 20 or more characters from ``[A-Za-z0-9+/_=.-]`` with a digit or with
 letters of both cases, is a secret when the log-likelihood ratio per character exceeds a threshold set on held-out
-samples. Candidates are found and scored for whole blocks of texts in numpy. Spans of the models are added where they
+samples. Of a candidate that is none as a whole, the stretches between separators (any of ``+/_=.-``) are judged as if each
+stood alone, so a random string joined to ordinary text is found; of overlapping ones, the one with the highest sum over the
+threshold counts. Candidates are found and scored for whole blocks of texts in numpy. Spans of the models are added where they
 overlap no span of the patterns, which stay as they are.
 
 Null texts count as empty and have no spans. Every text is searched whole. Repeated rows give equal rows; other columns
@@ -135,6 +137,49 @@ _IN[_CODE > 0] = True
 _DIGIT[48:58], _LOWER[97:123], _UPPER[65:91] = True, True, True
 
 
+_SPLIT = np.zeros(256, bool)
+_SPLIT[list(b"+/_=.-")] = True
+
+
+def stretches(ratio: Ratio, run: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of disjoint stretches of one run that are secrets alone: they start and end at separators or the run's ends.
+
+    A stretch has at least SHORTEST characters, a digit and a letter or letters of both cases, and a ratio per character
+    above the threshold. The best is taken, then the best of what is left on both sides of it.
+    """
+    n = len(run)
+    split = np.concatenate(([True], _SPLIT[run], [True]))  # at k + 1: character k
+    if not split[1:-1].any():
+        return []
+    first, last = np.flatnonzero(split[:-1] & ~split[1:]), np.flatnonzero(~split[:-1] & split[1:])
+    code = _CODE[run]
+    one, two = np.concatenate(([0], code[:-1])), np.concatenate(([0, 0], code[:-2]))
+    total = np.concatenate(([0.0], np.cumsum(ratio.table[two, one, code] - ratio.threshold)))
+    # what a stretch from here has more than within the run: its first two characters have less before them
+    follow = np.minimum(first + 1, n - 1)
+    fresh = ratio.table[0, 0, code[first]] - ratio.table[two[first], one[first], code[first]]
+    fresh += np.where(first + 1 < n, ratio.table[0, code[first], code[follow]] - ratio.table[two[follow], code[first], code[follow]], 0)
+    before = total[first] - fresh
+    at = np.arange(n)
+    seen = np.sort([np.maximum.accumulate(np.where(t[run], at, -1)) for t in (_DIGIT, _LOWER, _UPPER)], axis=0)[1]
+    # a stretch that ends at last[k] starts at first[latest[k]] at the latest
+    latest = np.searchsorted(first, np.minimum(seen[last - 1], last - SHORTEST), "right") - 1
+    out, todo = [], [(0, len(first))]
+    while todo:
+        a, b = todo.pop()
+        allowed = latest[a:b] >= a
+        if not allowed.any():
+            continue
+        low = np.minimum.accumulate(before[a:b])
+        gain = np.where(allowed, total[last[a:b]] - low[np.maximum(latest[a:b] - a, 0)], 0)
+        k = int(gain.argmax())
+        if gain[k] > 0:
+            j = a + int(before[a : latest[a + k] + 1].argmin())
+            out.append((int(first[j]), int(last[a + k])))
+            todo += [(a, j), (a + k + 1, b)]
+    return sorted(out)
+
+
 def modelled(ratio: Ratio, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(row, start, end) of strings more likely random than ordinary, as byte ranges within the row."""
     if not len(data):
@@ -157,8 +202,9 @@ def modelled(ratio: Ratio, data: np.ndarray, offsets: np.ndarray) -> Iterator[tu
         return
     secret = ratio.scores(data, starts, stops) > ratio.threshold
     rows = np.searchsorted(offsets, starts, "right") - 1
-    for row, a, b in zip(rows[secret].tolist(), starts[secret].tolist(), stops[secret].tolist(), strict=True):
-        yield row, a - int(offsets[row]), b - int(offsets[row])
+    for row, a, b, whole in zip(rows.tolist(), starts.tolist(), stops.tolist(), secret.tolist(), strict=True):
+        for x, y in [(0, b - a)] if whole else stretches(ratio, data[a:b]):
+            yield row, a + x - int(offsets[row]), a + y - int(offsets[row])
 
 
 def finder(ratio: Ratio):

@@ -109,3 +109,32 @@ def test_random_strings_and_identifiers(spark):
     text = "key wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY and theQuickBrownFoxJumpsOverLazyDog12"
     row = secrets.digest(secrets.detect(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
     assert row.spans == "random:4:42" and row.n_hex == 0
+
+
+def test_random_strings_joined_to_ordinary_text(spark):
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAM"
+    texts = [f"see {head}{key}{tail} now" for head, tail in (("/home/user/service/config/", ""), ("client.request.header.authorization=", ""), ("", "/home/user/service/config/index"), ("data_file_path_read-", ".html/page/text"))]
+    rows = [*enumerate(texts), (9, "see /home/user/service/config/index.html and client.request.header.authorization=none2")]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.detect(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {k: f"random:{t.index(key)}:{t.index(key) + len(key)}" for k, t in enumerate(texts)} | {9: ""}
+
+
+def test_stretches_equal_brute_force():
+    ratio, r = secrets.default_ratio(), random.Random(8)
+    pool = [s for s, _ in secrets.labelled(400, 21)]
+    score = lambda s: float(ratio.scores(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]))[0])
+    some = 0
+    for _ in range(150):
+        run = "".join(r.choice(("/", "=", "..", "-", "_")) + r.choice(pool)[: r.randint(1, 40)] for _ in range(r.randint(2, 5))).encode()
+        cut = [k for k in range(len(run) + 1) if k in (0, len(run)) or run[k - 1] in b"+/_=.-" or run[k] in b"+/_=.-"]
+        fit = lambda s: len(s) >= secrets.SHORTEST and s[:1] not in b"+/_=.-" and s[-1:] not in b"+/_=.-" and sum((any(48 <= c < 58 for c in s), any(97 <= c < 123 for c in s), any(65 <= c < 91 for c in s))) > 1
+
+        def best(a, b):
+            every = [((score(run[x:y]) - ratio.threshold) * (y - x), x, y) for x in cut for y in cut if a <= x < y <= b and fit(run[x:y])]
+            top = max(every, default=(0, 0, 0))
+            return [*best(a, top[1]), top[1:], *best(top[2], b)] if top[0] > 0 else []
+
+        want = best(0, len(run))
+        some += len(want)
+        assert secrets.stretches(ratio, np.frombuffer(run, np.uint8)) == want
+    assert some > 50
