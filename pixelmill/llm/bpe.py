@@ -8,7 +8,10 @@ position is stale, and is skipped, when its pair's rank is no longer that of its
 queue over many short pre-tokens laid end to end: per step it takes, in numpy, the leftmost live position of every
 pre-token in the lowest bucket. Pre-tokens don't touch, so each sees its own merges in the order of its own ranks.
 
-Null texts encode as no ids; ids decode to exactly the bytes that were encoded.
+Null and empty texts encode as no ids; ids decode to exactly the bytes that were encoded. Very long texts are encoded
+whole, in segments that no match of the pattern crosses, so beside the text and its ids a worker holds a bounded amount;
+it remembers chunks and pre-tokens within a partition only. Repeated rows give equal rows, an empty table gives none.
+Columns pass through, except those named like the output, which it replaces.
 """
 
 from __future__ import annotations
@@ -16,25 +19,33 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from pixelmill.llm import kernel
 
 NONE = (1 << 31) - 1
 LONG = 256
-#: Chunks and pre-tokens that a worker remembers; beyond it the less used half is forgotten.
-CACHE = 250_000
+#: Bytes, about, that a worker remembers of chunks, and of pre-tokens, within a partition; bytes of an entry besides its content.
+CACHE, ENTRY = 48 << 20, 200
+#: Size of a chunk or pre-token up to which it is remembered; bytes of text that are cut up, and that are encoded, at a time.
+KEPT, SEGMENT, GROUP = 64, 1 << 20, 4 << 20
+#: Bytes of pre-tokens in one queue; ids that are decoded at a time.
+MERGE_BYTES, BLOCK = 1 << 20, 1 << 20
 _WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
-_TWO = regex.compile(rf"[{_WHITE}][{_WHITE}]")
-_RUNS = regex.compile(rf"[{_WHITE}] [{_WHITE}]|[{_WHITE}] \Z")
+_POINTS = [ord(c) for c in regex.findall(rf"[{_WHITE}]", "".join(map(chr, range(0x3001))))]
+_WHITE_BYTE, _WHITE_LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_WHITE_BYTE[[p for p in _POINTS if p < 0x80]] = True
+_WHITE_LEAD[[chr(p).encode()[0] for p in _POINTS if p >= 0x80]] = True
+_WHITE_THREE = np.array([int.from_bytes(chr(p).encode(), "big") for p in _POINTS if p >= 0x800])
 SPACE_SAFE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -214,175 +225,275 @@ def merge_many(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray,
     return symbols[stays], total[at]
 
 
-class _Codes(dict):
-    """Numbers for keys in the order in which they are first asked for."""
+class _Recent(dict):
+    """A dictionary of at most about ``limit`` bytes: two generations, of which the older is forgotten."""
 
-    def __init__(self):
+    def __init__(self, limit: int):
         super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key):
-        self[key] = code = len(self)
-        self.new.append(key)
-        return code
+        self.limit, self.old, self.size = limit // 2, {}, 0
+
+    def missing(self, keys: list) -> list:
+        """The keys that aren't known; known ones are of the younger generation then."""
+        new = [k for k in keys if k not in self]
+        again = [k for k in new if k in self.old]
+        if again:
+            self.put(again, [self.old.pop(k) for k in again])
+            new = [k for k in new if k not in self]
+        return new
+
+    def put(self, keys: list, values: list[bytes]) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.size += sum(map(len, keys)) + sum(map(len, values)) + ENTRY * len(keys)
+
+    def settle(self, new: list) -> None:
+        """After a use: drops long keys among ``new``, and the older generation if the younger is full."""
+        for k in new:
+            if len(k) > KEPT:
+                self.size -= len(k) + len(self.pop(k)) + ENTRY
+        if self.size > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
+
+
+def _is_white(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that begin, and that end, a character of white space."""
+    begins = _WHITE_BYTE[data]
+    ends = begins.copy()
+    if len(data) > 2 and _WHITE_LEAD[data].any():
+        two = np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0)))
+        code = data[:-2].astype(np.int32) << 16 | data[1:-1].astype(np.int32) << 8 | data[2:]
+        three = np.flatnonzero(np.isin(code, _WHITE_THREE))
+        begins[two], ends[two + 1], begins[three], ends[three + 2] = True, True, True, True
+    elif len(data) == 2 and data[0] == 0xC2 and data[1] in (0x85, 0xA0):
+        begins[0] = ends[1] = True
+    return begins, ends
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the ids of chunks between spaces and of pre-tokens."""
+    """Encodes blocks of texts; remembers the ids of chunks and of pre-tokens, each up to CACHE bytes.
+
+    The pattern never joins a character to the space after it. So texts are cut before single spaces, and before and
+    after single line ends, and each distinct chunk of a segment is encoded once; the cuts, and which chunks are equal,
+    are found in numpy.
+    """
 
     def __init__(self, blob: bytes, pattern: str):
         self.vocabulary = Vocabulary(blob)
         self.split_spaces = pattern == SPACE_SAFE
         exact = pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")
         self.match = regex.compile(exact)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.codes = _Codes()
-        self.pieces: dict[str, bytes] = {}  # int32 ids
-        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.used = np.zeros(0, np.int64)
-
-    def _pieces(self, wanted: set[str]) -> None:
-        """Adds the ids of pre-tokens to self.pieces."""
-        queue: list[str] = []
-        for p in wanted:
-            raw = p.encode()
-            whole = self.vocabulary.ranks.get(raw)
-            if whole is not None:
-                self.pieces[p] = whole.to_bytes(4, sys.byteorder)
-            elif len(raw) > LONG:
-                self.pieces[p] = np.array(merge_long(self.vocabulary, raw), np.int32).tobytes()
-            else:
-                queue.append(p)
-        ids, at = merge_many(self.vocabulary, [p.encode() for p in queue])
-        raw, at = ids.astype(np.int32).tobytes(), (at * 4).tolist()
-        for k, p in enumerate(queue):
-            self.pieces[p] = raw[at[k] : at[k + 1]]
-
-    def _learn(self) -> None:
-        """Encodes the chunks that were new in this batch."""
-        whole = lambda c: c[0] if isinstance(c, tuple) else c if c[:1] == "\n" else " " + c
-        found = [self.match.findall(whole(c)) for c in self.codes.new]
-        self._pieces({p for ps in found for p in ps if p not in self.pieces})
+        self.forget()
+
+    def forget(self) -> None:
+        """Frees what was remembered."""
+        self.chunks, self.pieces = _Recent(CACHE), _Recent(CACHE)
+
+    def _merge(self, wanted: set[str]) -> list[str]:
+        """Adds the int32 ids of pre-tokens to self.pieces; returns the new ones."""
+        new = self.pieces.missing(list(wanted))
+        raws = [p.encode("utf-8", "surrogateescape") for p in new]
+        rank = self.vocabulary.ranks.get
+        ids = [None if r is None else r.to_bytes(4, sys.byteorder) for r in map(rank, raws)]
+        queue = []
+        for k, (raw, known) in enumerate(zip(raws, ids, strict=True)):
+            if known is None and len(raw) > LONG:
+                ids[k] = np.array(merge_long(self.vocabulary, raw), np.int32).tobytes()
+            elif known is None:
+                queue.append(k)
+        ends = np.cumsum(np.fromiter((len(raws[k]) for k in queue), np.int64, len(queue)))
+        for part in np.split(np.array(queue, np.int64), np.flatnonzero(np.diff(ends // MERGE_BYTES)) + 1):
+            merged, at = merge_many(self.vocabulary, [raws[k] for k in part.tolist()])
+            flat, at = merged.astype(np.int32).tobytes(), (at * 4).tolist()
+            for j, k in enumerate(part.tolist()):
+                ids[k] = flat[at[j] : at[j + 1]]
+        self.pieces.put(new, ids)
+        return new
+
+    def _ids(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """int32 ids by chunk."""
+        new = self.chunks.missing(chunks)
+        match = self.match.findall
+        found = [match(c.decode("utf-8", "surrogateescape")) for c in new]
+        pieces = self._merge(set(itertools.chain.from_iterable(found)))
         look = self.pieces.__getitem__
-        chunks = [b"".join(map(look, ps)) for ps in found]
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) // 4
-        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(chunks), np.int32)))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
-        self.codes.new = []
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
+        self.chunks.put(new, [look(ps[0]) if len(ps) == 1 else b"".join(map(look, ps)) for ps in found])
+        self.pieces.settle(pieces)
+        out = dict(zip(chunks, map(self.chunks.__getitem__, chunks), strict=True))
+        self.chunks.settle(new)
+        return out
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks begin: rows, and places that no match crosses. A neighbour in another row does no harm: white at
+        the edge of a text is a match of its own, or the start of one."""
+        marked = np.zeros(len(data) + 1, bool)
+        marked[offsets] = True
+        for a in range(0, len(data) if self.split_spaces else 0, SEGMENT):
+            low, high = max(0, a - 4), min(len(data), a + SEGMENT + 4)
+            part = data[low:high]
+            begins, ends = _is_white(part)
+            lone = np.zeros(len(part), bool)  # white with no white on either side
+            lone[1:-1] = ~ends[:-2] & ~begins[2:]
+            line = lone & (part == 10)
+            marked[low:high] |= line | lone & (part == 32)
+            marked[low + 1 : high] |= line[:-1]
+        marked[-1] = False
+        return np.flatnonzero(marked)
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (int32) of the rows' texts (UTF-8) end to end, and where each row's begin (one more entry than rows)."""
+        cuts = self._cuts(data, offsets)
+        bounds = np.append(cuts, len(data))
+        counts, out = np.zeros(len(cuts), np.int64), []
+        first = 0
+        while first < len(cuts):
+            begin, found = first, []
+            while first < len(cuts) and bounds[first] - bounds[begin] < GROUP:
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SEGMENT, "right")) - 1)
+                found.append((first, last, *_distinct(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])))
+                first = last
+            ids = self._ids(list(set().union(*(distinct for _, _, distinct, _ in found))))
+            for a, b, distinct, which in found:
+                own = list(map(ids.__getitem__, distinct))
+                counts[a:b] = (np.fromiter(map(len, own), np.int64, len(own)) // 4)[which]
+                out.append(b"".join(map(own.__getitem__, which.tolist())))
+        total = np.concatenate(([0], np.cumsum(counts)))
+        return np.frombuffer(b"".join(out) if len(out) != 1 else out[0], np.int32), total[np.searchsorted(cuts, offsets)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end (int32), and where each text's begin (one more entry than texts).
-
-        The pattern never joins a character to the space after it, so a text is cut before single spaces, and before
-        single line ends, and each chunk is encoded once; only runs of white space need more care.
-        """
-        look, rows, sizes = self.codes.__getitem__, [], []
-        for text in texts:
-            if not self.split_spaces:
-                parts = None
-            elif not _TWO.search(text):
-                parts = text.replace("\n", " \n").split(" ")
-            elif " \n" in text or _RUNS.search(text):
-                parts = None
-            else:
-                parts = text.split(" ")
-            if parts is None:
-                row = [look((text,))]
-            else:
-                row = [look((parts[0],)), *map(look, parts[1:])] if parts[0] else list(map(look, parts[1:]))
-            rows.append(np.array(row, np.int64))
-            sizes.append(len(row))
-        self._learn()
-        codes = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        lengths = self.at[codes + 1] - self.at[codes]
-        total = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(lengths, out=total[1:])
-        where = np.repeat(self.at[codes] - total[:-1], lengths) + np.arange(total[-1])
-        out = self.ids[where]
-        begins = total[np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))).astype(np.int64)]
-        used = np.bincount(codes, minlength=len(self.codes))
-        used[: len(self.used)] += self.used
-        self.used = used
-        if len(self.codes) > CACHE:
-            self._shrink()
-        return out, begins
-
-    def _shrink(self) -> None:
-        """Keeps the more used half of the chunks, without whole texts."""
-        keep = np.zeros(len(self.codes), bool)
-        keep[np.argsort(-self.used, kind="stable")[: CACHE // 2]] = True
-        keys = [k for k, stays in zip(self.codes, keep.tolist(), strict=True) if stays and (isinstance(k, str) or len(k[0]) < LONG)]
-        old = np.array([self.codes[k] for k in keys], np.int64)
-        lengths = self.at[old + 1] - self.at[old]
-        at = np.concatenate(([0], np.cumsum(lengths)))
-        self.ids = self.ids[np.repeat(self.at[old] - at[:-1], lengths) + np.arange(at[-1])]
-        self.at, self.used = at, self.used[old] // 2
-        self.codes = _Codes()
-        self.codes.update(zip(keys, range(len(keys)), strict=True))
-
-
-_ENCODERS: dict[bytes, Encoder] = {}
-
-
-def _encoder(blob: bytes, pattern: str) -> Encoder:
+        """:meth:`encode_block` of a list of texts."""
+        raws = [t.encode("utf-8", "surrogateescape") for t in texts]
+        return self.encode_block(np.frombuffer(b"".join(raws), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, raws))))).astype(np.int64))
+
+
+def _distinct(data: np.ndarray, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans that ``data`` is cut into at ``at``, and which one each span is."""
+    sizes = np.diff(at)
+    _, first, which = np.unique(kernel.span_hash(data, at[:-1], at[1:]), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    same = first[which]
+    if np.array_equal(sizes[same], sizes) and np.array_equal(data[np.repeat(at[same] - at[:-1], sizes) + np.arange(len(data))], data):
+        return [raw[a:b] for a, b in zip(at[first].tolist(), at[first + 1].tolist(), strict=True)], which
+    codes: dict[bytes, int] = {}  # two spans of one hash
+    which = np.array([codes.setdefault(raw[a:b], len(codes)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
+    return list(codes), which
+
+
+class Decoder:
+    """Bytes and decimal digits of ids, by Arrow's take."""
+
+    def __init__(self, blob: bytes):
+        ranks = {int(b): base64.b64decode(a) for a, b in (line.split() for line in blob.splitlines() if line)}
+        self.tokens = pa.array([ranks.get(k, b"") for k in range(max(ranks) + 1)], pa.large_binary())
+        self.digits = pa.array([b"%d," % k for k in range(len(self.tokens))], pa.large_binary())
+
+    @staticmethod
+    def _taken(values: pa.Array, ids: pa.Array | np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
+        """Where each id's bytes begin (one more entry than ids), and the bytes."""
+        raw = values.take(ids if isinstance(ids, pa.Array) else pa.array(ids))
+        return np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64), raw.buffers()[2] or pa.py_buffer(b"")
+
+    def decode(self, lists: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+        """(first row, end row, bytes by row) of an array of lists of ids, in blocks of about BLOCK ids. A null list gives no bytes."""
+        at = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        row = 0
+        while row < len(lists):
+            end = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, "right")) - 1)
+            ends, data = self._taken(self.tokens, lists.slice(row, end - row).flatten())
+            out = pa.Array.from_buffers(pa.large_binary(), end - row, [None, pa.py_buffer(np.ascontiguousarray(ends[at[row : end + 1] - at[row]])), data])
+            yield row, end, out.cast(pa.binary())
+            row = end
+
+    def digests(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[str], list[str]]:
+        """SHA-256 of each row's ids, in decimal and comma-joined, and of its decoded bytes; by blocks of ids."""
+        out: tuple[list[str], list[str]] = ([], [])
+        row = 0
+        while row < len(at) - 1:
+            end = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, "right")) - 1)
+            end = min(end, len(at) - 1)
+            hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in range(row, end)]
+            for a in range(int(at[row]), int(at[end]), BLOCK):
+                b = min(a + BLOCK, int(at[end]))  # more than one block only where a row is longer
+                for which, values in enumerate((self.digits, self.tokens)):
+                    ends, data = self._taken(values, ids[a:b])
+                    view = memoryview(data)
+                    for k in range(row, end):
+                        x, y = max(int(at[k]), a), min(int(at[k + 1]), b)
+                        if x < y:
+                            stop = int(ends[y - a]) - (which == 0 and y == int(at[k + 1]))  # without the last comma
+                            hashes[k - row][which].update(view[int(ends[x - a]) : stop])
+            for which in (0, 1):
+                out[which].extend(h[which].hexdigest() for h in hashes)
+            row = end
+        return out
+
+
+_CODERS: dict[bytes, tuple[Encoder, Decoder]] = {}
+
+
+def _coders(blob: bytes, pattern: str) -> tuple[Encoder, Decoder]:
+    """A worker's coders: only the vocabulary outlives a partition."""
     key = hashlib.sha256(blob + b"\0" + pattern.encode()).digest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(blob, pattern)
-    return _ENCODERS[key]
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Encoder(blob, pattern), Decoder(blob)
+    return _CODERS[key]
 
 
-def _with(docs: DataFrame, name: str, kind: T.DataType, carry: list[str] | None) -> tuple[list[str], T.StructType]:
-    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() != name]
-    return keep, T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, kind)])
+def _with(docs: DataFrame, added: list[T.StructField], carry: list[str] | None) -> tuple[list[str], T.StructType]:
+    names = {f.name for f in added}
+    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in names]
+    return keep, T.StructType([*[docs.schema[c] for c in keep], *added])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (all by default) with ``ids`` (array<int>), the text's tokens under the rank file at ``path`` (read by the driver)."""
+def _vocabulary(spark: SparkSession, path: str) -> Broadcast:
     with open(path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: under 2 MB
-    keep, schema = _with(docs, "ids", T.ArrayType(T.IntegerType()), carry)
+        return spark.sparkContext.broadcast(f.read())  # a vocabulary file: under 2 MB
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, pattern)
-        for batch in batches:
-            for a, b, _, _ in kernel.slices(batch, "ids"):
-                part = batch.slice(a, b - a)
-                ids, at = encoder.encode([t or "" for t in part.column(len(keep)).to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], names=[*keep, "ids"])
 
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("ids")).mapInArrow(run, schema)
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded`` (binary), the bytes of its tokens."""
-    with open(path, "rb") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
-    keep, schema = _with(encoded, "decoded", T.BinaryType(), None)
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) with the text's tokens under the rank file at ``path`` (read by the driver).
+
+    ``ids`` adds the array ``ids``; ``digests`` adds ``n_tokens``, ``ids_sha256`` (of the decimal ids, comma-joined) and
+    ``decoded_sha256``, for which the same worker decodes the ids again.
+    """
+    if not (ids or digests):
+        raise ValueError("neither ids nor digests are wanted")
+    shared = _vocabulary(docs.sparkSession, path)
+    keep, schema = _with(docs, [*([IDS] if ids else []), *(DIGESTS if digests else [])], carry)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = {int(b): base64.b64decode(a) for a, b in (line.split() for line in shared.value.splitlines() if line)}
-        tokens = pa.array([ranks.get(k, b"") for k in range(max(ranks) + 1)], pa.large_binary())
-        for whole in batches:
-            for row in range(0, whole.num_rows, 500):
-                batch = whole.slice(row, 500)
-                lists = batch.column(len(keep))
-                at = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-                raw = tokens.take(lists.flatten())
-                ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-                out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), raw.buffers()[2]])
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], out.cast(pa.binary())], names=[*keep, "decoded"])
+        encoder, decoder = _coders(shared.value, pattern)
+        try:
+            for batch in batches:
+                for a, b, offsets, data in kernel.slices(batch, schema.names[-1], GROUP):
+                    part = batch.slice(a, b - a)
+                    found, at = encoder.encode_block(data, offsets)
+                    new: list[pa.Array] = []
+                    if ids:
+                        new.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found)))
+                    if digests:
+                        new += [pa.array(np.diff(at)), *map(pa.array, decoder.digests(found, at))]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=schema.names)
+        finally:
+            encoder.forget()
+
+    return docs.select(*[docs[c] for c in keep], docs[text].alias(schema.names[-1])).mapInArrow(run, schema)
 
-    return encoded.select(*[encoded[c] for c in keep], encoded[ids].alias("decoded")).mapInArrow(run, schema)
 
+def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded`` (binary), the bytes of its tokens; ids without a token give no bytes."""
+    shared = _vocabulary(encoded.sparkSession, path)
+    keep, schema = _with(encoded, [T.StructField("decoded", T.BinaryType())], None)
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """``decoded`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` in place of ids and bytes."""
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    digests = {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(joined, 256), "decoded_sha256": F.sha2("decoded", 256)}
-    return decoded.withColumns(digests).drop("ids", "decoded")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            for a, b, found in decoder.decode(batch.column(len(keep))):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], found], names=[*keep, "decoded"])
+
+    return encoded.select(*[encoded[c] for c in keep], encoded[ids].alias("decoded")).mapInArrow(run, schema)

@@ -35,8 +35,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carry=["doc_id"])
-    return bpe.digest(bpe.decode(encoded, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carry=["doc_id"], ids=False, digests=True)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
