@@ -53,8 +53,11 @@ _A, _F, _K0, _EASTING = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
 _N = _F / (2 - _F)
 _RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 _FORWARD = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
-_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
-_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+#: Metres of a radian on the map.
+SCALE = _K0 * _RADIUS
 
 
 def utm(lon, lat, zone: int = 30):
@@ -67,19 +70,19 @@ def utm(lon, lat, zone: int = 30):
     for j, c in enumerate(_FORWARD, 1):
         x = x + c * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
         y = y + c * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
-    return _EASTING + _K0 * _RADIUS * x, _K0 * _RADIUS * y
+    return _EASTING + SCALE * x, SCALE * y
 
 
 def utm_inverse_columns(x: Column, y: Column, zone: int = 30) -> tuple[Column, Column]:
     """(lon, lat) columns of eastings and northings."""
-    xi, eta = y / F.lit(_K0 * _RADIUS), (x - F.lit(_EASTING)) / F.lit(_K0 * _RADIUS)
+    xi, eta = y / F.lit(SCALE), (x - F.lit(_EASTING)) / F.lit(SCALE)
     a, b = xi, eta
-    for j, c in enumerate(_BACK, 1):
+    for j, c in enumerate(BACK, 1):
         a = a - F.lit(c) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
         b = b - F.lit(c) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
     chi = F.asin(F.sin(a) / F.cosh(b))
     phi = chi
-    for j, c in enumerate(_LATITUDE, 1):
+    for j, c in enumerate(LATITUDE, 1):
         phi = phi + F.lit(c) * F.sin(chi * (2 * j))
     return F.lit(float(zone * 6 - 183)) + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.degrees(phi)
 

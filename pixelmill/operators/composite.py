@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.functions import pixel
 
+#: What a composite is made by. Catalogues of several tiles or years name those too, before the pixel.
 KEYS = ("season", "row", "col")
 
 
@@ -17,20 +18,23 @@ def masked_pixels(raw: DataFrame, classes: tuple[int, ...] = pixel.HIDDEN_CLASSE
     return bands.withColumns(pixel.indices(F.col("nir"), F.col("red"), F.col("swir1"), F.col("green")))
 
 
-def seasonal_composite(masked: DataFrame, channels: tuple[str, ...] = pixel.CHANNELS) -> DataFrame:
-    """The median over scenes by season and pixel, skipping nulls; a pixel that is always hidden keeps a row of nulls."""
-    return masked.groupBy(*KEYS).agg(*[F.median(c).alias(c) for c in channels])
+def seasonal_composite(masked: DataFrame, channels: tuple[str, ...] = pixel.CHANNELS, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The median over scenes by ``keys``, skipping nulls; a pixel that is always hidden keeps a row of nulls.
+
+    With ("tile", "year", *KEYS), tiles and years of one catalogue stay apart.
+    """
+    return masked.groupBy(*keys).agg(*[F.median(c).alias(c) for c in channels])
 
 
-def seasonal_composite_sorted(masked: DataFrame, channels: tuple[str, ...] = pixel.CHANNELS) -> DataFrame:
+def seasonal_composite_sorted(masked: DataFrame, channels: tuple[str, ...] = pixel.CHANNELS, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The same medians from sorted arrays: for few scenes a pixel, an alternative to the counting aggregate."""
     def middle(values: Column) -> Column:
         n = F.size(values)
         low, high = F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
         return F.when(n > 0, (low + high) / 2)
 
-    lists = masked.groupBy(*KEYS).agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in channels])
-    return lists.select(*KEYS, *[middle(F.col(c)).alias(c) for c in channels])
+    lists = masked.groupBy(*keys).agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in channels])
+    return lists.select(*keys, *[middle(F.col(c)).alias(c) for c in channels])
 
 
 def crop_partial(pixels: DataFrame, height: int, width: int, tile: int) -> DataFrame:
@@ -41,18 +45,18 @@ def crop_partial(pixels: DataFrame, height: int, width: int, tile: int) -> DataF
 def missing_by_block(masked: DataFrame, block: int, channels: tuple[str, ...] = pixel.CHANNELS) -> DataFrame:
     """Percent of missing values of all channels by season, scene and block, to two places (half to even)."""
     missing = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in channels), F.lit(0))
-    keys = [F.col("season"), F.col("scene_id"), pixel.block(F.col("row"), block).alias("block_row"), pixel.block(F.col("col"), block).alias("block_col")]
+    keys = [*[F.col(k) for k in ("tile", "year") if k in masked.columns], F.col("season"), F.col("scene_id"), pixel.block(F.col("row"), block).alias("block_row"), pixel.block(F.col("col"), block).alias("block_col")]
     share = F.lit(100.0) * F.sum(missing) / (F.count("*") * len(channels))
     return masked.groupBy(*keys).agg(F.bround(share, 2).alias("nan_pct"))
 
 
-def season_stack(composite: DataFrame, channels: tuple[str, ...] = pixel.CHANNELS, seasons: tuple[str, ...] = pixel.SEASONS, complete: bool = True) -> DataFrame:
+def season_stack(composite: DataFrame, channels: tuple[str, ...] = pixel.CHANNELS, seasons: tuple[str, ...] = pixel.SEASONS, complete: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One row per pixel, with columns {season}_{channel}: one aggregate in place of three joins.
 
-    Pixels that lack a season are left out, or have nulls for it if not ``complete``.
+    ``composite`` has one row per ``keys``, as :func:`seasonal_composite` makes it. Pixels that lack a season are left out, or have nulls for it if not ``complete``.
     """
     picked = [F.first(F.when(F.col("season") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}") for s in seasons for c in channels]
-    stack = composite.where(F.col("season").isin(*seasons)).groupBy("row", "col").agg(F.count_distinct("season").alias("n_seasons"), *picked)
+    stack = composite.where(F.col("season").isin(*seasons)).groupBy(*[k for k in keys if k != "season"]).agg(F.count("*").alias("n_seasons"), *picked)
     return (stack.where(F.col("n_seasons") == len(seasons)) if complete else stack).drop("n_seasons")
 
 

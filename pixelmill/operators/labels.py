@@ -19,8 +19,10 @@ def remap_table(labels: DataFrame, nodata: int = 0) -> DataFrame:
 
 
 def remapped(labels: DataFrame, nodata: int = 0) -> DataFrame:
-    """``labels`` with ``idx``, 255 where the class has none. The table has a row per class: 256 at most."""
-    return labels.join(F.broadcast(remap_table(labels, nodata)), "class", "left").withColumn("idx", F.coalesce("idx", F.lit(pixel.IGNORE)))
+    """``labels`` with ``idx``, 255 where the class has none. The table has a row per class: an error beyond 255 of them."""
+    table = remap_table(labels, nodata)
+    few = table.withColumn("idx", F.when(F.col("idx") < pixel.IGNORE, F.col("idx")).otherwise(F.raise_error(F.lit("more than 255 classes")).cast("int")))
+    return labels.join(F.broadcast(few), "class", "left").withColumn("idx", F.coalesce("idx", F.lit(pixel.IGNORE)))
 
 
 def class_counts(labels: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.functions import pixel
+from pixelmill.operators import quantiles
 
 PLACES = 6
 
@@ -32,9 +33,18 @@ def kept_patches(fractions: DataFrame, most: float) -> DataFrame:
 
 
 def numbered(patches: DataFrame, per_block: int) -> DataFrame:
-    """``patches`` with ``number``, from 0 by set, in the order of blocks, then of patches."""
-    blocks = [pixel.block(F.col(c), per_block) for c in ("patch_row", "patch_col")]
-    return patches.withColumn("number", F.row_number().over(Window.partitionBy("set_name").orderBy(*blocks, "patch_row", "patch_col")) - 1)
+    """``patches`` with ``number``, from 0 by set, in the order of blocks, then of patches.
+
+    Blocks are counted, and where each begins follows from sums over rows of blocks, then over the blocks of a row; so no
+    task sorts a whole set, only a row's blocks or a block's patches.
+    """
+    placed = patches.withColumns({"_r": pixel.block(F.col("patch_row"), per_block), "_c": pixel.block(F.col("patch_col"), per_block)})
+    counts = placed.groupBy("set_name", "_r", "_c").agg(F.count("*").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = counts.groupBy("set_name", "_r").agg(F.sum("n").alias("n")).select("set_name", "_r", before(Window.partitionBy("set_name").orderBy("_r")).alias("line"))
+    blocks = counts.select("set_name", "_r", "_c", before(Window.partitionBy("set_name", "_r").orderBy("_c")).alias("block")).join(lines, ["set_name", "_r"])
+    own = F.row_number().over(Window.partitionBy("set_name", "_r", "_c").orderBy("patch_row", "patch_col")) - 1
+    return placed.withColumn("_k", own).join(blocks, ["set_name", "_r", "_c"]).withColumn("number", (F.col("line") + F.col("block") + F.col("_k")).cast("int")).select(*patches.columns, "number")
 
 
 def split_class_counts(pixels: DataFrame, ignore: int = pixel.IGNORE) -> DataFrame:
@@ -48,17 +58,19 @@ def sampled(pixels: DataFrame, percent: int) -> DataFrame:
 
 
 def channel_stats(values: DataFrame, low: float = 0.01, high: float = 0.99, places: int | None = PLACES) -> DataFrame:
-    """(channel, low, high, median, mean, std) of (channel, value): exact percentiles, population deviation, nulls skipped."""
-    fix = (lambda c: F.round(c, places)) if places is not None else (lambda c: c)
-    return values.groupBy("channel").agg(
-        fix(F.percentile("value", low)).alias("low"), fix(F.percentile("value", high)).alias("high"), fix(F.median("value")).alias("median"),
-        fix(F.avg("value")).alias("mean"), fix(F.stddev_pop("value")).alias("std"),
-    )
+    """(channel, low, high, median, mean, std) of (channel, value): exact percentiles, population deviation, nulls skipped.
+
+    A channel of any size: see :mod:`pixelmill.operators.quantiles`. A channel without a value has a row of nulls.
+    """
+    fix = (lambda c: F.round(c, places)) if places is not None else (lambda c: F.col(c))
+    moments = values.groupBy("channel").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    found = quantiles.percentiles(values, ["channel"], "value", {"low": low, "high": high, "median": 0.5})
+    return moments.join(found, "channel", "left").select("channel", *[fix(c).alias(c) for c in ("low", "high", "median", "mean", "std")])
 
 
 def normalised(values: DataFrame, stats: DataFrame) -> DataFrame:
-    """``values`` with ``norm``; stats are a row per channel and are broadcast by Spark where they are small."""
-    joined = values.join(stats.select("channel", "low", "high", "median"), "channel")
+    """``values`` with ``norm``; stats are a row per channel, computed once, counted and broadcast: values don't move."""
+    joined = values.join(quantiles.checked(stats.select("channel", "low", "high", "median")), "channel")
     return joined.withColumn("norm", pixel.normalised(F.col("value"), F.col("low"), F.col("high"), F.col("median"))).drop("low", "high", "median")
 
 
@@ -75,12 +87,12 @@ def augmented(pixels: DataFrame, size: int, patch_id: str = "patch_id", seed: in
     return drawn.withColumns({"row": row, "col": col}).drop("flip_w", "flip_h", "turns")
 
 
-def tensors(pixels: DataFrame, channels: list[str], size: int) -> DataFrame:
+def tensors(pixels: DataFrame, channels: list[str], size: int, kind: str = "float") -> DataFrame:
     """(set_name, number, features array<array<float>>, labels array<int>): channels first, pixels by row and column.
 
     A patch is of fixed size, so a group is bounded by size * size rows.
     """
-    value = F.struct(F.col("row"), F.col("col"), *[F.col(c).cast("float").alias(c) for c in channels], F.col("idx"))
+    value = F.struct(F.col("row"), F.col("col"), *[F.col(c).cast(kind).alias(c) for c in channels], F.col("idx"))
     flat = pixels.groupBy("set_name", "number").agg(F.array_sort(F.collect_list(value)).alias("p"))
     return flat.select("set_name", "number", F.array(*[F.col(f"p.{c}") for c in channels]).alias("features"), F.col("p.idx").alias("labels"))
 

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.functions import geo, names, pixel
-from pixelmill.operators import catalog, composite, labels, network, patches, resample, split
+from pixelmill.operators import catalog, composite, labels, network, patches, quantiles, resample, split
 from pixelmill.plans import tables as t
+from pixelmill.sources.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 AOI = {"west": -5.0, "south": 37.0, "east": -4.4, "north": 37.5}
 NAMES = {0: "no data", 1: "trees", 2: "shrubs", 3: "grass", 4: "crops"}
-SEEDS, RADIUS = 20, 1
-#: As many seeds as the reference tries; the queries named _whole and extract_patches take them.
-WHOLE_SEEDS = 200
+#: As many seeds as the reference tries.
+SEEDS, RADIUS = 200, 1
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -93,20 +94,12 @@ def partial_block_crop(spark: SparkSession, d: str) -> DataFrame:
     return composite.crop_partial(t.raw_pixels(spark, d), t.SIDE, t.SIDE, 24).select("season", "scene_id", "row", "col", "scl")
 
 
-_STACK = ", ".join(f"max(case when season = '{s}' then {c} end) as {s}_{c}" for s in pixel.SEASONS for c in ("red", "nir", "ndvi"))
+_STACKED = tuple(f"{s}_{c}" for s in pixel.SEASONS for c in pixel.CHANNELS)
+_STACK = ", ".join(f"max(case when season = '{s}' then {c} end) as {s}_{c}" for s in pixel.SEASONS for c in pixel.CHANNELS)
 
 
 @query(f'with {t.COMPOSITE_SQL} select "row", col, {_STACK} from composite group by "row", col having count(distinct season) = 4')
 def season_stack(spark: SparkSession, d: str) -> DataFrame:
-    return composite.season_stack(_composite(spark, d), ("red", "nir", "ndvi"))
-
-
-_STACKED = tuple(f"{s}_{c}" for s in pixel.SEASONS for c in pixel.CHANNELS)
-_WHOLE_STACK = ", ".join(f"max(case when season = '{s}' then {c} end) as {s}_{c}" for s in pixel.SEASONS for c in pixel.CHANNELS)
-
-
-@query(f'with {t.COMPOSITE_SQL} select "row", col, {_WHOLE_STACK} from composite group by "row", col having count(distinct season) = 4')
-def season_stack_whole(spark: SparkSession, d: str) -> DataFrame:
     return composite.season_stack(_composite(spark, d))
 
 
@@ -119,9 +112,9 @@ def channel_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f'with {t.COMPOSITE_SQL}, p as (select quantile_cont(red, 0.02) as lo, quantile_cont(red, 0.98) as hi from composite) select season, "row", col, round(case when red is null then null else least(greatest((red - lo) / nullif(hi - lo, 0), 0), 1) end, 9) as stretched from composite, p')
 def contrast_stretch(spark: SparkSession, d: str) -> DataFrame:
-    pixels = _composite(spark, d).select("season", "row", "col", "red")
-    limits = pixels.agg(F.percentile("red", 0.02).alias("lo"), F.percentile("red", 0.98).alias("hi"))  # one row
-    return pixels.crossJoin(F.broadcast(limits)).select("season", "row", "col", F.round(pixel.stretched(F.col("red"), F.col("lo"), F.col("hi")), 9).alias("stretched"))
+    pixels = Scratch(spark, "stretch").write(_composite(spark, d).select("season", "row", "col", "red"), "red")
+    limits = quantiles.checked(quantiles.percentiles(pixels, [], "red", {"lo": 0.02, "hi": 0.98}), 1)
+    return pixels.crossJoin(limits).select("season", "row", "col", F.round(pixel.stretched(F.col("red"), F.col("lo"), F.col("hi")), 9).alias("stretched"))
 
 
 @query(f'with {t.MASKED_SQL} select season, count(*) as n, min(red) as min_red, max(red) as max_red, round(avg(red), 9) as mean_red, round(stddev_pop(red), 9) as std_red from masked group by season')
@@ -250,18 +243,19 @@ _SCORED = f'{_KEPT}, sizes as (select seed, count(*) filter (where keep and set_
 _BEST = f"{_SCORED}, best as (select * from scored where covers order by score desc, seed limit 1)"
 
 
-def _kept(spark: SparkSession, seeds: int = SEEDS) -> DataFrame:
-    return split.buffered(split.expanded(split.assigned_by_hash(spark, 5, seeds), 4), RADIUS)
+def _kept(spark: SparkSession) -> DataFrame:
+    return split.buffered(split.expanded(split.assigned_by_hash(spark, 5, SEEDS), 4), RADIUS)
 
 
-def _scores(spark: SparkSession, d: str, seeds: int = SEEDS) -> DataFrame:
-    return split.seed_scores(_kept(spark, seeds), labels.patch_class_counts(t.label_raster(spark, d), t.PATCH))
+def _scores(spark: SparkSession, d: str, kept: DataFrame | None = None) -> DataFrame:
+    return split.seed_scores(_kept(spark) if kept is None else kept, labels.patch_class_counts(t.label_raster(spark, d), t.PATCH))
 
 
-def _specs(spark: SparkSession, d: str, seeds: int = SEEDS) -> DataFrame:
-    best = split.best_seed(_scores(spark, d, seeds)).select("seed")  # one row: no need to collect it
+def _specs(spark: SparkSession, d: str) -> DataFrame:
+    kept = Scratch(spark, "split").write(_kept(spark), "kept")
+    best = split.best_seed(_scores(spark, d, kept)).select("seed")  # one row: no need to collect it
     name = F.element_at(F.array(*map(F.lit, split.SETS)), F.col("set_id") + 1)
-    return _kept(spark, seeds).where("keep").join(F.broadcast(best), "seed", "left_semi").select("row", "col", name.alias("set_name"))
+    return kept.where("keep").join(F.broadcast(best), "seed", "left_semi").select("row", "col", name.alias("set_name"))
 
 
 _SPECS = f"{_BEST}, specs as (select \"row\", col, case set_id when 0 then 'train' when 1 then 'val' else 'test' end as set_name from kept where keep and seed = (select seed from best))"
@@ -297,63 +291,64 @@ def patch_specs(spark: SparkSession, d: str) -> DataFrame:
     return _specs(spark, d)
 
 
-def _whole(sql: str) -> str:
-    """The same SQL over all the reference's seeds."""
-    return sql.replace(f"range(0, {SEEDS}))::int as seed", f"range(0, {WHOLE_SEEDS}))::int as seed")
-
+def _shuffled(seed: int) -> list[int]:
+    """The set of each of 25 blocks, as numpy's default generator deals them: 4 of test, 4 of validation, 17 of training."""
+    ids = np.array([2] * 4 + [1] * 4 + [0] * 17, np.uint8)
+    np.random.default_rng(seed).shuffle(ids)
+    return ids.tolist()
 
-@query(_whole(f"with {_SCORED} select * from scored"))
-def seed_scores_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d, WHOLE_SEEDS)
 
+_DRAWN = ", ".join(f"({seed}, {_shuffled(seed)})" for seed in range(SEEDS))
 
-@query(_whole(f"with {_BEST} select * from best"))
-def select_seed_whole(spark: SparkSession, d: str) -> DataFrame:
-    return split.best_seed(_scores(spark, d, WHOLE_SEEDS))
 
-
-@query(_whole(f"with {_SPECS} select * from specs"))
-def patch_specs_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _specs(spark, d, WHOLE_SEEDS)
-
-
-@query()
+@query(f"with drawn as (select * from (values {_DRAWN}) v(seed, ids)), b as (select seed, unnest(range(0, 25)) as k, ids from drawn) select seed, cast(k // 5 as int) as block_row, cast(k % 5 as int) as block_col, cast(ids[k + 1] as int) as set_id from b")
 def assign_blocks_rng(spark: SparkSession, d: str) -> DataFrame:
     return split.assigned_by_rng(spark, 5, list(range(SEEDS)))
 
 
-# --- patches
+# --- patches: all channels of all seasons, every pixel of the grid (one that no scene has is missing), all seeds
 
-_USED = ("red", "nir", "ndvi")
-_FRACTIONS = f"""{_SPECS}, {t.COMPOSITE_SQL}, djf as (select "row", col, red, nir, ndvi from composite where season = 'DJF'),
-inside as (select d.*, cast(d."row" // 4 as int) as patch_row, cast(d.col // 4 as int) as patch_col, set_name from djf d join specs s on d."row" // 4 = s."row" and d.col // 4 = s.col),
-fractions as (select set_name, patch_row, patch_col, sum({' + '.join(f'case when {c} is null then 1 else 0 end' for c in _USED)}) / (count(*) * 3)::double as nan_fraction from inside group by all)"""
-_NUMBERED = f"{_FRACTIONS}, numbered as (select *, cast(row_number() over (partition by set_name order by patch_row // 4, patch_col // 4, patch_row, patch_col) - 1 as int) as number from fractions where nan_fraction <= 0.3)"
-_LABELLED = f'{_NUMBERED}, known as (select "class", cast(dense_rank() over (order by "class") - 1 as int) as idx from (select distinct "class" from labels_r where "class" <> 0)), placed as (select i."row", i.col, i.red, i.nir, i.ndvi, i.patch_row, i.patch_col, n.set_name, number, coalesce(idx, 255) as idx from inside i join numbered n using (patch_row, patch_col) join labels_r l on l."row" = i."row" and l.col = i.col left join known k on k."class" = l."class")'
+_MOST_MISSING = 0.3
+_FRACTIONS = f"""{_SPECS}, {t.COMPOSITE_SQL}, stack as (select "row", col, {_STACK} from composite group by "row", col),
+cells_in as (select cast(s."row" * {t.PATCH} + i as int) as "row", cast(s.col * {t.PATCH} + j as int) as col, s."row" as patch_row, s.col as patch_col, set_name from specs s, (select unnest(range(0, {t.PATCH})) as i), (select unnest(range(0, {t.PATCH})) as j)),
+inside as (select c.*, {", ".join(_STACKED)} from cells_in c left join stack d on d."row" = c."row" and d.col = c.col),
+fractions as (select set_name, patch_row, patch_col, sum({' + '.join(f'case when {c} is null then 1 else 0 end' for c in _STACKED)}) / ({t.PATCH * t.PATCH} * 52)::double as nan_fraction from inside group by all)"""
+_NUMBERED = f"{_FRACTIONS}, numbered as (select *, cast(row_number() over (partition by set_name order by patch_row // 4, patch_col // 4, patch_row, patch_col) - 1 as int) as number from fractions where nan_fraction <= {_MOST_MISSING})"
+_LABELLED = f'{_NUMBERED}, known as (select "class", cast(dense_rank() over (order by "class") - 1 as int) as idx from (select distinct "class" from labels_r where "class" <> 0)), placed as (select i.*, number, coalesce(idx, 255) as idx from inside i join numbered n using (patch_row, patch_col) left join labels_r l on l."row" = i."row" and l.col = i.col left join known k on k."class" = l."class")'
 
 
 def _inside(spark: SparkSession, d: str) -> DataFrame:
-    djf = _composite(spark, d).where("season = 'DJF'").select("row", "col", *_USED)
-    return patches.in_patches(djf, _specs(spark, d), t.PATCH)
+    """The pixels of the chosen patches with all channels, written once: what follows reads them several times."""
+    step = F.sequence(F.lit(0), F.lit(t.PATCH - 1))
+    patch = _specs(spark, d).select(F.col("row").alias("patch_row"), F.col("col").alias("patch_col"), "set_name")
+    rows = patch.select("*", F.explode(step).alias("i")).select("*", F.explode(step).alias("j"))
+    pixels = rows.select((F.col("patch_row") * t.PATCH + F.col("i")).alias("row"), (F.col("patch_col") * t.PATCH + F.col("j")).alias("col"), "patch_row", "patch_col", "set_name")
+    return Scratch(spark, "patches").write(pixels.join(composite.season_stack(_composite(spark, d), complete=False), ["row", "col"], "left"), "inside")
 
 
-def _numbered(spark: SparkSession, d: str) -> DataFrame:
-    return patches.numbered(patches.kept_patches(patches.missing_fraction(_inside(spark, d), list(_USED)), 0.3), 4)
+def _filtered(inside: DataFrame) -> DataFrame:
+    return patches.kept_patches(patches.missing_fraction(inside, list(_STACKED)), _MOST_MISSING)
+
+
+def _numbered(inside: DataFrame) -> DataFrame:
+    return patches.numbered(_filtered(inside), 4)
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
-    inside = _inside(spark, d).drop("set_name").join(_numbered(spark, d).select("patch_row", "patch_col", "set_name", "number"), ["patch_row", "patch_col"])
-    return inside.join(labels.remapped(t.label_raster(spark, d)).select("row", "col", "idx"), ["row", "col"])
+    inside = _inside(spark, d)
+    kept = inside.drop("set_name").join(_numbered(inside).select("patch_row", "patch_col", "set_name", "number"), ["patch_row", "patch_col"])
+    placed = kept.join(labels.remapped(Scratch(spark, "labels").write(t.label_raster(spark, d), "labels")).select("row", "col", "idx"), ["row", "col"], "left")
+    return placed.withColumn("idx", F.coalesce("idx", F.lit(pixel.IGNORE)))
 
 
-@query(f"with {_FRACTIONS} select * from fractions where nan_fraction <= 0.3")
+@query(f"with {_FRACTIONS} select * from fractions where nan_fraction <= {_MOST_MISSING}")
 def patch_nan_filter(spark: SparkSession, d: str) -> DataFrame:
-    return patches.kept_patches(patches.missing_fraction(_inside(spark, d), list(_USED)), 0.3)
+    return _filtered(_inside(spark, d))
 
 
 @query(f"with {_NUMBERED} select set_name, patch_row, patch_col, number from numbered")
 def patch_numbering(spark: SparkSession, d: str) -> DataFrame:
-    return _numbered(spark, d).select("set_name", "patch_row", "patch_col", "number")
+    return _numbered(_inside(spark, d)).select("set_name", "patch_row", "patch_col", "number")
 
 
 @query(f"with {_LABELLED} select set_name, idx, count(*) as n from placed where idx <> 255 group by all")
@@ -363,74 +358,27 @@ def split_class_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_NUMBERED} select set_name, count(*) as n_patches from numbered group by all")
 def split_patch_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _numbered(spark, d).groupBy("set_name").agg(F.count("*").alias("n_patches"))
+    return _numbered(_inside(spark, d)).groupBy("set_name").agg(F.count("*").alias("n_patches"))
 
 
-@query(f"with {_LABELLED} select \"row\", col, red, nir, ndvi from placed where set_name = 'train' and (\"row\" * 7919 + col * 104729) % 100 < 25")
+@query(f"with {_LABELLED} select \"row\", col, {', '.join(_STACKED)} from placed where set_name = 'train' and (\"row\" * 7919 + col * 104729) % 100 < 25")
 def train_sample(spark: SparkSession, d: str) -> DataFrame:
-    return patches.sampled(_placed(spark, d).where("set_name = 'train'"), 25).select("row", "col", *_USED)
+    return patches.sampled(_placed(spark, d).where("set_name = 'train'"), 25).select("row", "col", *_STACKED)
 
 
-# The whole job: all channels of all seasons, every pixel of the grid, and all seeds of the reference.
+_MICRO = "case when {0} is null then '' else cast(cast(round({0} * 1000000) as bigint) as varchar) end"
 
-_WHOLE_FRACTIONS = f"""{_whole(_SPECS)}, {t.COMPOSITE_SQL}, stack as (select "row", col, {_WHOLE_STACK} from composite group by "row", col),
-cells_in as (select cast(s."row" * {t.PATCH} + i as int) as "row", cast(s.col * {t.PATCH} + j as int) as col, s."row" as patch_row, s.col as patch_col, set_name from specs s, (select unnest(range(0, {t.PATCH})) as i), (select unnest(range(0, {t.PATCH})) as j)),
-inside as (select c.*, {", ".join(_STACKED)} from cells_in c left join stack d on d."row" = c."row" and d.col = c.col),
-fractions as (select set_name, patch_row, patch_col, sum({' + '.join(f'case when {c} is null then 1 else 0 end' for c in _STACKED)}) / ({t.PATCH * t.PATCH} * 52)::double as nan_fraction from inside group by all)"""
-_WHOLE_NUMBERED = f"{_WHOLE_FRACTIONS}, numbered as (select *, cast(row_number() over (partition by set_name order by patch_row // 4, patch_col // 4, patch_row, patch_col) - 1 as int) as number from fractions where nan_fraction <= 0.3)"
-_WHOLE_LABELLED = f'{_WHOLE_NUMBERED}, known as (select "class", cast(dense_rank() over (order by "class") - 1 as int) as idx from (select distinct "class" from labels_r where "class" <> 0)), placed as (select i.*, number, coalesce(idx, 255) as idx from inside i join numbered n using (patch_row, patch_col) left join labels_r l on l."row" = i."row" and l.col = i.col left join known k on k."class" = l."class")'
 
-
-def _inside_whole(spark: SparkSession, d: str) -> DataFrame:
-    step = F.sequence(F.lit(0), F.lit(t.PATCH - 1))
-    patch = _specs(spark, d, WHOLE_SEEDS).select(F.col("row").alias("patch_row"), F.col("col").alias("patch_col"), "set_name")
-    rows = patch.select("*", F.explode(step).alias("i")).select("*", F.explode(step).alias("j"))
-    pixels = rows.select((F.col("patch_row") * t.PATCH + F.col("i")).alias("row"), (F.col("patch_col") * t.PATCH + F.col("j")).alias("col"), "patch_row", "patch_col", "set_name")
-    return pixels.join(composite.season_stack(_composite(spark, d), complete=False), ["row", "col"], "left")
-
-
-def _filtered_whole(spark: SparkSession, d: str) -> DataFrame:
-    return patches.kept_patches(patches.missing_fraction(_inside_whole(spark, d), list(_STACKED)), 0.3)
-
-
-def _numbered_whole(spark: SparkSession, d: str) -> DataFrame:
-    return patches.numbered(_filtered_whole(spark, d), 4)
-
-
-def _placed_whole(spark: SparkSession, d: str) -> DataFrame:
-    inside = _inside_whole(spark, d).drop("set_name").join(_numbered_whole(spark, d).select("patch_row", "patch_col", "set_name", "number"), ["patch_row", "patch_col"])
-    placed = inside.join(labels.remapped(t.label_raster(spark, d)).select("row", "col", "idx"), ["row", "col"], "left")
-    return placed.withColumn("idx", F.coalesce("idx", F.lit(pixel.IGNORE)))
-
-
-@query(f"with {_WHOLE_FRACTIONS} select * from fractions where nan_fraction <= 0.3")
-def patch_nan_filter_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _filtered_whole(spark, d)
-
-
-@query(f"with {_WHOLE_NUMBERED} select set_name, patch_row, patch_col, number from numbered")
-def patch_numbering_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _numbered_whole(spark, d).select("set_name", "patch_row", "patch_col", "number")
-
-
-@query(f"with {_WHOLE_LABELLED} select set_name, idx, count(*) as n from placed where idx <> 255 group by all")
-def split_class_counts_whole(spark: SparkSession, d: str) -> DataFrame:
-    return patches.split_class_counts(_placed_whole(spark, d))
-
-
-@query(f"with {_WHOLE_NUMBERED} select set_name, count(*) as n_patches from numbered group by all")
-def split_patch_counts_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _numbered_whole(spark, d).groupBy("set_name").agg(F.count("*").alias("n_patches"))
-
-
-@query(f"with {_WHOLE_LABELLED} select \"row\", col, {', '.join(_STACKED)} from placed where set_name = 'train' and (\"row\" * 7919 + col * 104729) % 100 < 25")
-def train_sample_whole(spark: SparkSession, d: str) -> DataFrame:
-    return patches.sampled(_placed_whole(spark, d).where("set_name = 'train'"), 25).select("row", "col", *_STACKED)
-
-
-@query()
+@query(f"""with {_LABELLED},
+channels as (select set_name, number, "row", col, idx, [{', '.join(_MICRO.format(c) for c in _STACKED)}] as v from placed),
+flat as (select set_name, number, list(v order by "row", col) as pixels, array_to_string(list(idx order by "row", col), ',') as labels from channels group by set_name, number)
+select set_name, number, array_to_string(list_transform(range(1, 53), lambda c: array_to_string(list_transform(pixels, lambda p: p[c]), ',')), ';') as features, labels from flat""")
 def extract_patches(spark: SparkSession, d: str) -> DataFrame:
-    return patches.tensors(_placed_whole(spark, d), list(_STACKED), t.PATCH)
+    """The tensors as text: millionths, channels apart by semicolons, pixels by commas; a missing value is empty."""
+    found = patches.tensors(_placed(spark, d), list(_STACKED), t.PATCH, "double")
+    micro = lambda v: F.coalesce(F.round(v * 1_000_000).cast("long").cast("string"), F.lit(""))
+    channels = F.transform("features", lambda c: F.array_join(F.transform(c, micro), ","))
+    return found.select("set_name", "number", F.array_join(channels, ";").alias("features"), F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
 _STATS = f"{t.VALUES_SQL}, stats as (select channel, quantile_cont(value, 0.01) as low, quantile_cont(value, 0.99) as high, median(value) as median, avg(value) as mean, stddev_pop(value) as std from vals group by channel)"
@@ -438,12 +386,12 @@ _STATS = f"{t.VALUES_SQL}, stats as (select channel, quantile_cont(value, 0.01)
 
 @query(f"with {_STATS} select cast(channel as int) as channel, round(low, 6) as low, round(high, 6) as high, round(median, 6) as median, round(mean, 6) as mean, round(std, 6) as std from stats")
 def channel_stats(spark: SparkSession, d: str) -> DataFrame:
-    return patches.channel_stats(t.vector_values(spark, d))
+    return patches.channel_stats(Scratch(spark, "stats").write(t.vector_values(spark, d), "values"))
 
 
 @query(f"with {_STATS} select vec_id, cast(channel as int) as channel, round(case when high > low then (least(greatest(value, low), high) - low) / (high - low) else 0 end, 6) as norm from vals join stats using (channel)")
 def normalize_pixels(spark: SparkSession, d: str) -> DataFrame:
-    values = t.vector_values(spark, d)
+    values = Scratch(spark, "normalise").write(t.vector_values(spark, d), "values")
     found = patches.normalised(values, patches.channel_stats(values, places=None))
     return found.select("vec_id", "channel", F.round("norm", 6).alias("norm"))
 
@@ -506,7 +454,21 @@ def decimate(spark: SparkSession, d: str) -> DataFrame:
     return resample.decimated(t.label_raster(spark, d), 4)
 
 
-@query()
+def _series(terms: tuple[float, ...], angle: str, other: str, outer: str, inner: str) -> str:
+    """A Krüger series in SQL: the sum of c * outer(2j * angle) * inner(2j * other)."""
+    part = {"sinh": "((exp({0}) - exp(-({0}))) / 2)", "cosh": "((exp({0}) + exp(-({0}))) / 2)", "": "1"}[inner]
+    return " + ".join(f"({c!r}::double) * {outer}({2 * k} * {angle}) * {part.format(f'{2 * k} * {other}')}" for k, c in enumerate(terms, 1))
+
+
+_REPROJECTED = f"""{t.LABEL_SQL}, {t.SECOND_SQL},
+m as (select "row", col, (4151040.0::double + ("row" + 0.5::double) * -640.0) / {geo.SCALE!r}::double as xi, (200780.0::double + (col + 0.5::double) * 640.0 - 500000.0) / {geo.SCALE!r}::double as eta from labels_r),
+ab as (select "row", col, xi - ({_series(geo.BACK, 'xi', 'eta', 'sin', 'cosh')}) as a, eta - ({_series(geo.BACK, 'xi', 'eta', 'cos', 'sinh')}) as b from m),
+chi as (select *, asin(sin(a) / ((exp(b) + exp(-b)) / 2)) as chi from ab),
+ll as (select "row", col, chi + {_series(geo.LATITUDE, 'chi', '0', 'sin', '')} as phi, -3.0::double + degrees(atan2((exp(b) - exp(-b)) / 2, cos(a))) as lon from chi),
+placed as (select "row", col, cast(floor((degrees(phi) - 38.0::double) / -0.02::double) as int) as r, cast(floor((lon + 6.5::double) / 0.02::double) as int) as c from ll)"""
+
+
+@query(f'with {_REPROJECTED} select p."row", p.col, coalesce(s."class", 0) as "class" from placed p left join labels_s s on s."row" = p.r and s.col = p.c')
 def reproject_nearest(spark: SparkSession, d: str) -> DataFrame:
     target = t.label_raster(spark, d).select("row", "col")
     source = t.second_raster(spark, d)
