@@ -1,7 +1,9 @@
 """From raw documents to training tokens: five stages, each over all that its predecessor kept.
 
 Null texts are empty: the quality stage rejects them with every other text of fewer than 20 words. Rows without a
-doc_id pass the stages that link documents. Extra columns of documents are carried to the last stage.
+doc_id pass the stages that link documents. Rows that repeat a doc_id count as one document there: all of them stay, or
+all go. Very long texts go through whole. An empty table gives an empty one. Extra columns of documents are carried to
+the last stage; there, those named ids, n_tokens, ids_sha256 or decoded_sha256 are replaced by its own.
 """
 
 from __future__ import annotations
@@ -42,10 +44,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts, and decodes the ids as a check: the digest of the bytes is that of the text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=[c for c in docs.columns if c != "text"])
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    digests = {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(joined, 256), "decoded_sha256": F.sha2("decoded", 256)}
-    return bpe.decode(encoded, path).withColumns(digests).drop("decoded")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, carry=[c for c in docs.columns if c != "text"], digests=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -107,12 +107,13 @@ def ledger(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     """The columns ``carry`` of ``docs`` (all by default) with its measurements (MEASURES, long) and ``failed_bits`` (long)."""
     names = [*MEASURES, "failed_bits"]
     keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in names]
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("failed_bits"))
+    once = text in keep  # then the text goes to the workers as itself only
+    source = docs.select(*[docs[c] for c in keep], *([] if once else [docs[text].alias("failed_bits")]))
     schema = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(m, T.LongType()) for m in MEASURES]])
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, offsets, data in kernel.slices(batch, "failed_bits"):
+            for a, b, offsets, data in kernel.slices(batch, text if once else "failed_bits"):
                 found = _measure(data, offsets)
                 part = batch.slice(a, b - a)
                 arrays = [part.column(k) for k in range(len(keep))] + [pa.array(found[m].astype(np.int64)) for m in MEASURES]
