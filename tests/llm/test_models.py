@@ -62,6 +62,40 @@ def test_scores(spark, odd, none):
     assert lattice.score(none, PIECES).count() == 0
 
 
+def test_score_is_the_marginal_of_all_segmentations(spark, model):
+    r = random.Random(8)
+    vocabulary = ["the", "of", "thention", "été", "x1", "zzq", "Ing", "日本", '"hi"', "rest", "ou"]
+    docs = [(k, " \t".join(r.choices(vocabulary, k=k % 9))) for k in range(60)] + [(60, "new unseen"), (None, "the"), (61, None)]
+    learned = [lattice.words(t) for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 10]
+    total = sum(map(len, learned)) + len(learned)
+    end = len(learned) / total
+    want = {(i, t): sum(brute(model, w) + math.log10(1 - end) for w in lattice.words(t)) + math.log10(end) for i, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.score(df, PIECES).collect()}
+    assert all(got[i].score == pytest.approx(w, rel=1e-9) for (i, _), w in want.items())
+    # the arc of seen words: shares of all words sum to one, so it is brute force over the same counts
+    count = collections.Counter(w for own in learned for w in own)
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+    own = lambda w: math.log10(max(count[w] - d, 0) / total + d * len(count) / total * 10 ** brute(model, w))
+    assert all(got[i].corpus_score == pytest.approx(sum(map(own, lattice.words(t))) + math.log10(end), rel=1e-9) for i, t in docs)
+
+
+def test_rare_words_by_shuffle_score_alike(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole = {r.doc_id: r for r in lattice.score(docs, PIECES).collect()}
+    for r in lattice.score(docs.repartition(7), PIECES, head_words=50).collect():
+        assert (r.n_tokens, r.n_known, r.held_out, r.train_tokens) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known, whole[r.doc_id].held_out, whole[r.doc_id].train_tokens)
+        for c in ("base_score", "score", "corpus_score"):
+            assert r[c] == pytest.approx(whole[r.doc_id][c], rel=1e-9)
+
+
+def test_estimated_pieces_fit_the_corpus_better(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    total = lambda rounds: sum(r.score for r in lattice.score(docs, PIECES, rounds=rounds).collect())
+    assert total(0) < total(2) < 0
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, None, None), (4, "u\r\n4", ""), (5, "u5", "é" * 3000), (6, "u6", "WARC/1.1\r\n\r\n"), (7, "u7", "same"), (None, "u", "same"), (2, "u2", "same"), (8, "u8", "x" * 300_000)]
     got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
