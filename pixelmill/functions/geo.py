@@ -30,6 +30,55 @@ def intersects(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["west"] <= b["east"]) & (a["east"] >= b["west"]) & (a["south"] <= b["north"]) & (a["north"] >= b["south"])
 
 
+def corners(box: tuple[float, float, float, float], epsg: int = 4326) -> list[tuple[float, float]]:
+    """The corners of a box in degrees (w, s, e, n), in order around it, in degrees or on a northern UTM map (326xx)."""
+    w, s, e, n = box
+    ring = [(w, s), (e, s), (e, n), (w, n)]
+    if epsg == 4326:
+        return ring
+    if not 32601 <= epsg <= 32660:
+        raise ValueError(f"EPSG:{epsg} isn't supported")
+    return [tuple(float(v) for v in utm(x, y, epsg - 32600)) for x, y in ring]
+
+
+def polygon_intersects(rings: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether a polygon (all rings of all its parts) and a convex one share a point; touching counts, holes don't belong.
+
+    Either an edge meets an edge, or one lies within the other: then a corner of the one is inside the other.
+    """
+    number = lambda v: F.lit(float(v))
+    sides = list(zip(corners, corners[1:] + corners[:1], strict=True))
+
+    def turn(ax, ay, bx, by, px, py):
+        return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+
+    def between(a, b, p):
+        return (F.least(a, b) <= p) & (p <= F.greatest(a, b))
+
+    def meets(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        out = F.lit(False)
+        for (cx, cy), (dx, dy) in sides:
+            cx, cy, dx, dy = map(number, (cx, cy, dx, dy))
+            a, b = turn(cx, cy, dx, dy, x1, y1), turn(cx, cy, dx, dy, x2, y2)
+            c, d = turn(x1, y1, x2, y2, cx, cy), turn(x1, y1, x2, y2, dx, dy)
+            cross = (F.signum(a) * F.signum(b) < 0) & (F.signum(c) * F.signum(d) < 0)
+            on = lambda t, ax, ay, bx, by, px, py: (t == 0) & between(ax, bx, px) & between(ay, by, py)
+            out = out | cross | on(a, cx, cy, dx, dy, x1, y1) | on(b, cx, cy, dx, dy, x2, y2) | on(c, x1, y1, x2, y2, cx, cy) | on(d, x1, y1, x2, y2, dx, dy)
+        return out
+
+    def edges(ring: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda k: F.struct(F.get(ring, k)[0].alias("x1"), F.get(ring, k)[1].alias("y1"), F.get(ring, k + 1)[0].alias("x2"), F.get(ring, k + 1)[1].alias("y2")))
+
+    every = F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 1), edges))
+    px, py = map(number, corners[0])
+    right = lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (px < (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
+    holds = F.size(F.filter(every, lambda e: F.coalesce(right(e), F.lit(False)))) % 2 == 1
+    vertex = F.get(F.get(rings, 0), 0)
+    signs = [F.signum(turn(*map(number, (*a, *b)), vertex[0], vertex[1])) for a, b in sides]
+    held = F.coalesce(F.greatest(*signs) <= 0, F.lit(False)) | F.coalesce(F.least(*signs) >= 0, F.lit(False))
+    return F.exists(every, lambda e: meets(e["x1"], e["y1"], e["x2"], e["y2"])) | holds | held
+
+
 def buffer_radius(buffer_m: float, patch: int, resolution: float) -> int:
     """Patches that a buffer spans, rounded up."""
     return math.ceil(buffer_m / resolution / patch)

@@ -89,3 +89,22 @@ def mirrored(row: Column, col: Column, height: int, width: int, flip_w: Column,
     to_row = F.when(turns == 1, F.lit(width - 1) - c).when(turns == 2, F.lit(height - 1) - r).when(turns == 3, c).otherwise(r)
     to_col = F.when(turns == 1, r).when(turns == 2, F.lit(width - 1) - c).when(turns == 3, F.lit(height - 1) - r).otherwise(c)
     return to_row.cast("int"), to_col.cast("int")
+
+
+def percentile_range(low: Column, high: Column) -> Column:
+    """What normalisation divides by."""
+    return high - low
+
+
+def patch_window(row: Column, col: Column, size: int) -> Column:
+    """The pixels of a patch: a struct of row, col, height and width."""
+    return F.struct((row * size).cast("int").alias("row"), (col * size).cast("int").alias("col"), F.lit(size).alias("height"), F.lit(size).alias("width"))
+
+
+def season_in(day: Column, windows: dict[str, tuple[str, str]]) -> Column:
+    """The season whose first and last day (ISO dates) hold the day; null outside all. Unlike :func:`season_of`, December
+    belongs to the winter that its window names, be it of the next year."""
+    date, out = F.to_date(day), F.lit(None).cast("string")
+    for name, (first, last) in reversed(windows.items()):
+        out = F.when(date.between(F.to_date(F.lit(first)), F.to_date(F.lit(last))), name).otherwise(out)
+    return out

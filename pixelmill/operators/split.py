@@ -47,12 +47,14 @@ def expanded(blocks: DataFrame, per_block: int) -> DataFrame:
     return both.select("seed", (F.col("block_row") * per_block + F.col("i")).alias("row"), (F.col("block_col") * per_block + F.col("j")).alias("col"), "set_id")
 
 
-def buffered(patches: DataFrame, radius: int) -> DataFrame:
+def buffered(patches: DataFrame, radius: int, shape: tuple[int, int] | None = None) -> DataFrame:
     """``patches`` with ``keep``: whether all patches within the radius, diagonals included, are of the same set.
 
     Each patch is sent to the cells that see it, so it is one equi-aggregate; cells beyond the grid see nothing, which
-    equals padding by the edge.
+    equals padding by the edge. With ``shape``, the grid's rows and columns, a radius beyond either is an error.
     """
+    if shape is not None and radius > min(shape):
+        raise ValueError(f"a radius of {radius} exceeds the grid of {shape[0]} x {shape[1]} patches")
     if radius < 1:
         return patches.withColumn("keep", F.lit(True))
     offsets = F.sequence(F.lit(-radius), F.lit(radius))

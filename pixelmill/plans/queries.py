@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pixelmill.functions import geo, names, pixel
 from pixelmill.operators import catalog, composite, labels, network, patches, quantiles, resample, split
 from pixelmill.plans import tables as t
+from pixelmill.sources import raster, scenes, sinks, tiff
 from pixelmill.sources.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +137,15 @@ def season_scene_counts(spark: SparkSession, d: str) -> DataFrame:
     return catalog.season_counts(items.select("candidate", F.when(F.col("cloud_cover") < 10, F.col("datetime")).alias("datetime")))
 
 
+_WINDOWS = {"DJF": ("1996-12-01", "1997-02-28"), "MAM": ("1996-03-01", "1996-05-31"), "JJA": ("1996-06-01", "1996-08-31"), "SON": ("1996-09-01", "1996-11-30")}
+
+
+@query(f"with {t.ITEMS_SQL} select id, season from items join (values {', '.join(f'({chr(39)}{k}{chr(39)}, date {chr(39)}{a}{chr(39)}, date {chr(39)}{b}{chr(39)})' for k, (a, b) in _WINDOWS.items())}) v(season, a, b) on cast(datetime as date) between a and b")
+def season_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes of one year's seasons by their first and last days; the winter ends in the next year."""
+    return t.stac_items(spark, d).select("id", pixel.season_in(F.col("datetime"), _WINDOWS).alias("season")).where("season is not null")
+
+
 @query(f"with {t.ITEMS_SQL}, c as (select candidate, {', '.join(f'count(*) filter (where {t.SEASON_SQL.format("datetime")} = {chr(39)}{s}{chr(39)}) as {s}' for s in pixel.SEASONS)} from items where cloud_cover < 10 group by candidate) select candidate, cast(DJF + MAM + JJA + SON as bigint) as total, DJF + MAM + JJA + SON >= 30 and least(DJF, MAM, JJA, SON) >= 5 as is_valid from c")
 def aoi_validity(spark: SparkSession, d: str) -> DataFrame:
     return catalog.validity(catalog.season_counts(t.stac_items(spark, d).where("cloud_cover < 10")), 30, 5)
@@ -186,6 +196,16 @@ def remap_labels(spark: SparkSession, d: str) -> DataFrame:
     return labels.remapped(t.label_raster(spark, d)).select("row", "col", "class", "idx")
 
 
+@query(f'with {t.LABEL_SQL} select cast("row" - 5 as int) as "row", cast(col - 11 as int) as col, "class" from labels_r where "row" between 5 and 64 and col between 11 and 70')
+def geotiff_window(spark: SparkSession, d: str) -> DataFrame:
+    """The labels written as a GeoTIFF, and a window of it read again; pixels that no scene has are missing."""
+    raster.register(spark)
+    where = Scratch(spark, "geotiff").path("labels.tif")
+    profile = tiff.Profile(t.SIDE, t.SIDE, 1, "uint8", geo.Affine(200780.0, 4151040.0, 640.0, -640.0), 32630, 255.0, ("class",), tile=(32, 32))
+    raster.write_raster(t.label_raster(spark, d), where, profile)
+    return spark.read.format("geotiff").option("window", "5,11,60,60").option("tile", "32").load(where).where("`class` is not null").select("row", "col", "class")
+
+
 _NAME = "case \"class\" " + " ".join(f"when {k} then '{v}'" for k, v in NAMES.items()) + " else 'unknown' end"
 
 
@@ -381,6 +401,25 @@ def extract_patches(spark: SparkSession, d: str) -> DataFrame:
     return found.select("set_name", "number", F.array_join(channels, ";").alias("features"), F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
+@query(f"""with {_LABELLED},
+missing as (select set_name, number, sum({' + '.join(f'case when {c} is null then 1 else 0 end' for c in _STACKED)})::bigint as n_missing, array_to_string(list(idx order by "row", col), ',') as labels from placed group by set_name, number)
+select set_name || '/patch_' || lpad(number::varchar, 4, '0') as name, n_missing, labels, {52 * t.PATCH * t.PATCH}::bigint as n_values from missing""")
+def npy_patch_files(spark: SparkSession, d: str) -> DataFrame:
+    """The patches written as pairs of .npy files and read again."""
+    where = Scratch(spark, "npy").path("patches")
+    sinks.write_npy_patches(patches.tensors(_placed(spark, d), list(_STACKED), t.PATCH), where, t.PATCH).collect()
+    found = scenes.npy_patches(spark, where + "/*")
+    missing = F.size(F.filter("features", lambda v: v.isNull() | F.isnan(v)))
+    name = F.regexp_extract("name", "([a-z]+/patch_[0-9]+)$", 1)
+    return found.select(name.alias("name"), missing.cast("long").alias("n_missing"), F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"), F.size("features").cast("long").alias("n_values"))
+
+
+@query(f"with {_SPECS} select \"row\" as patch_row, col as patch_col, set_name, cast(\"row\" * {t.PATCH} as int) as \"row\", cast(col * {t.PATCH} as int) as col, {t.PATCH} as height, {t.PATCH} as width from specs")
+def patch_windows(spark: SparkSession, d: str) -> DataFrame:
+    found = _specs(spark, d).withColumn("w", pixel.patch_window(F.col("row"), F.col("col"), t.PATCH))
+    return found.select(F.col("row").alias("patch_row"), F.col("col").alias("patch_col"), "set_name", "w.*")
+
+
 _STATS = f"{t.VALUES_SQL}, stats as (select channel, quantile_cont(value, 0.01) as low, quantile_cont(value, 0.99) as high, median(value) as median, avg(value) as mean, stddev_pop(value) as std from vals group by channel)"
 
 
@@ -389,6 +428,12 @@ def channel_stats(spark: SparkSession, d: str) -> DataFrame:
     return patches.channel_stats(Scratch(spark, "stats").write(t.vector_values(spark, d), "values"))
 
 
+@query(f"with {_STATS} select cast(channel as int) as channel, round(high - low, 6) as width from stats")
+def percentile_range(spark: SparkSession, d: str) -> DataFrame:
+    stats = patches.channel_stats(Scratch(spark, "stats").write(t.vector_values(spark, d), "values"), places=None)
+    return stats.select("channel", F.round(pixel.percentile_range(F.col("low"), F.col("high")), 6).alias("width"))
+
+
 @query(f"with {_STATS} select vec_id, cast(channel as int) as channel, round(case when high > low then (least(greatest(value, low), high) - low) / (high - low) else 0 end, 6) as norm from vals join stats using (channel)")
 def normalize_pixels(spark: SparkSession, d: str) -> DataFrame:
     values = Scratch(spark, "normalise").write(t.vector_values(spark, d), "values")

@@ -6,6 +6,8 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pixelmill.functions.pixel import INDICES
+
 
 def _require(ok: bool, message: str) -> None:
     if not ok:
@@ -42,6 +44,10 @@ class Stac:
     backoff: float = 1.0
     statuses: tuple[int, ...] = (429, 500, 502, 503, 504)
 
+    def __post_init__(self):
+        _require(bool(self.url), "stac.url must not be empty")
+        _require(bool(self.collection), "stac.collection must not be empty")
+
 
 @dataclass(frozen=True)
 class Msi:
@@ -58,6 +64,7 @@ class Msi:
         missing, extra = provided - set(self.band_order), set(self.band_order) - provided
         _require(not missing and not extra, f"msi.band_order differs from the bands: lacks {sorted(missing)}, adds {sorted(extra)}")
         _require("scl" in self.band_order, "msi.band_order lacks scl")
+        _require(self.target_resolution in self.bands, f"no band has the target resolution of {self.target_resolution} m")
 
     @property
     def num_bands(self) -> int:
@@ -71,13 +78,26 @@ class Msi:
     def spectral(self) -> tuple[str, ...]:
         return tuple(b for b in self.band_order if b != "scl")
 
+    @property
+    def channels(self) -> tuple[str, ...]:
+        """The channels of a composite: the spectral bands, then the indices."""
+        return (*self.spectral, *(i.upper() for i in INDICES))
+
+    def by_asset(self) -> dict[str, str]:
+        """Asset to band."""
+        return {asset: band for own in self.bands.values() for asset, band in own.items()}
+
+    def by_band(self) -> dict[str, str]:
+        """Band to asset."""
+        return {band: asset for asset, band in self.by_asset().items()}
+
     def position(self, band: str) -> int:
         _require(band in self.band_order, f"unknown band {band!r}")
         return self.band_order.index(band)
 
     def assets(self) -> list[str]:
         """Asset names in band order."""
-        by_band = {band: asset for by_asset in self.bands.values() for asset, band in by_asset.items()}
+        by_band = self.by_band()
         return [by_band[b] for b in self.band_order]
 
     def reference_asset(self, resolution: int) -> str:

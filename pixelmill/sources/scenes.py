@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan
@@ -25,12 +26,22 @@ def stac_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vector_grid(spark: SparkSession, path: str) -> DataFrame:
-    """(ll_tile, west, south, east, north) of a GeoJSON file of boxes."""
-    schema = "features array<struct<properties: struct<ll_tile: string>, geometry: struct<coordinates: array<array<array<double>>>>>>"
-    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    ring = F.col("f.geometry.coordinates")[0]
-    xs, ys = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
-    return f.select(F.col("f.properties.ll_tile").alias("ll_tile"), F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north"))
+    """(ll_tile, epsg, rings, west, south, east, north) of a GeoJSON file of polygons; rings holds all rings of all parts.
+
+    A file whose reference system is null is an error; one that names none is in degrees (4326), as the format has it.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))  # one row: a grid is a small file
+    system = F.get_json_object("v", "$.crs.properties.name")
+    code = F.regexp_extract(system, "([0-9]+)$", 1)
+    epsg = F.when(F.col("v").rlike('"crs"\\s*:\\s*null'), F.raise_error(F.lit("the grid has no reference system")).cast("int")).when(system.isNull() | system.endswith("CRS84"), 4326).otherwise(code.cast("int"))
+    feature = "array<struct<properties: struct<ll_tile: string>, geometry: struct<type: string, coordinates: string>>>"
+    f = text.select(epsg.alias("epsg"), F.explode(F.from_json("v", f"features {feature}")["features"]).alias("f"))
+    ring = "array<array<array<double>>>"
+    body = F.col("f.geometry.coordinates")
+    parts = F.when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(F.from_json(body, f"array<{ring}>"))).otherwise(F.from_json(body, ring))
+    rows = f.select(F.col("f.properties.ll_tile").alias("ll_tile"), "epsg", parts.alias("rings"))
+    xs, ys = F.transform(F.flatten("rings"), lambda p: p[0]), F.transform(F.flatten("rings"), lambda p: p[1])
+    return rows.select("*", F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north"))
 
 
 def pixels(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None, columns: list[str] | None = None, tile: int | None = None) -> DataFrame:
@@ -88,7 +99,7 @@ def normalisation(spark: SparkSession, text: str) -> DataFrame:
 class StacSource(DataSource):
     """A catalogue as a data source: ``spark.read.format("stac").load(file)``; the search is pushed down to the reader.
 
-    Here the catalogue is a file of JSON lines; a subclass of the reader can ask a service with the same predicates.
+    Here the catalogue is JSON lines in a file or a folder of them; a subclass of the reader can ask a service with the same predicates.
     """
 
     @classmethod
@@ -102,6 +113,12 @@ class StacSource(DataSource):
         return StacReader(self.options["path"])
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format known to the session and lets it push filters down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(StacSource)
+
+
 class StacReader(DataSourceReader):
     def __init__(self, path: str):
         self.path, self.wanted = path, []
@@ -114,12 +131,24 @@ class StacReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
+        """A partition per file: ``path`` is a file, or a folder of files, in any file system that Arrow knows."""
+        fs, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
+        if fs.get_file_info(root).type == pafs.FileType.File:
+            return [InputPartition(self.path)]
+        before = self.path[: len(self.path) - len(root)] if self.path.endswith(root) else ""
+        found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
+        return [InputPartition(before + f) for f in found] or [InputPartition("")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         tests = {"EqualTo": lambda a, b: a == b, "LessThan": lambda a, b: a < b, "GreaterThanOrEqual": lambda a, b: a >= b}
-        with open(partition.value, encoding="utf-8") as f:
-            for line in f:
+        path = partition.value
+        if not path:
+            return
+        fs, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        with fs.open_input_stream(name) as raw:
+            for line in io.TextIOWrapper(raw, encoding="utf-8"):
+                if not line.strip():
+                    continue
                 item = json.loads(line)
                 row = {"id": item["id"], "datetime": item.get("datetime"), "cloud_cover": item["properties"].get("eo:cloud_cover"), "grid_code": item["properties"].get("grid:code")}
                 if all(row[c] is not None and tests[t](row[c], v) for c, t, v in self.wanted):

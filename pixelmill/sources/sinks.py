@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import dataclasses
+import io
 import json
 import subprocess
+import uuid
+from collections.abc import Iterator
 from datetime import date, datetime, timezone
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.functions import pixel
+from pixelmill.operators.split import SETS
 
 
 def write_pixels(df: DataFrame, path: str, tile: int, by: tuple[str, ...] = ("season",), mode: str = "errorifexists") -> None:
@@ -37,6 +43,87 @@ def write_patches(df: DataFrame, path: str) -> None:
     df.write.partitionBy("set_name").parquet(path)
 
 
+def write_npy_patches(df: DataFrame, path: str, size: int) -> DataFrame:
+    """Tensors (set_name, number, features, labels) as pairs of .npy files, {set}/patch_{number}_feature.npy and _label.npy.
+
+    Features are float32 [channels, size, size], missing ones NaN; labels uint8 [size, size]. Tasks write under temporary
+    names and rename, so a repeated task leaves whole files only. Returns (set_name, n) of what was written.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        for frame in frames:
+            for name, number, features, labels in zip(frame.set_name, frame.number, frame.features, frame.labels, strict=True):
+                x = np.stack([np.array([np.nan if v is None else v for v in c], np.float32) for c in features]).reshape(-1, size, size)
+                fs.create_dir(f"{root}/{name}", recursive=True)
+                for kind, values in (("feature", x), ("label", np.asarray(labels, np.uint8).reshape(size, size))):
+                    own = f"{root}/{name}/patch_{number:04d}_{kind}.npy"
+                    body = io.BytesIO()
+                    np.save(body, values)
+                    temporary = f"{own}.{uuid.uuid4().hex}.tmp"
+                    with fs.open_output_stream(temporary) as out:
+                        out.write(body.getvalue())
+                    fs.move(temporary, own)
+            yield pd.DataFrame({"set_name": frame.set_name, "n": np.ones(len(frame), np.int64)})
+
+    written = df.select("set_name", "number", "features", "labels").mapInPandas(run, "set_name string, n long")
+    rows = written.groupBy("set_name").agg(F.sum("n").alias("n")).collect()  # a row per split
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], "set_name string, n long")
+
+
+def patches_metadata(
+    seed: int, radius: int, size: int, block_size: int, seasons: list[str], channels: list[str], mapping: dict[int, int], names: dict[int, str],
+    kept: DataFrame, fractions: DataFrame, class_counts: DataFrame, most_missing: float,
+) -> dict:
+    """What the patches were made of, as the JSON beside them; all tables have a row per patch, or fewer.
+
+    ``kept`` are the chosen seed's (row, col, set_id, keep); ``fractions`` (set_name, patch_row, patch_col, nan_fraction) of
+    the patches before the filter; ``class_counts`` (set_name, idx, n); ``mapping`` is from classes to indexes.
+    """
+    grid = kept.select("row", "col", "set_id", F.col("keep").cast("int").alias("keep")).orderBy("row", "col").collect()
+    shape = (max(r.row for r in grid) + 1, max(r.col for r in grid) + 1) if grid else (0, 0)
+    table = lambda c: [[r[c] for r in grid[k * shape[1] : (k + 1) * shape[1]]] for k in range(shape[0])]
+    n = {s: 0 for s in SETS} | {r.set_name: r.n for r in fractions.where(F.col("nan_fraction") <= most_missing).groupBy("set_name").agg(F.count("*").alias("n")).collect()}
+    counts = {s: [0] * len(mapping) for s in SETS}
+    for r in class_counts.collect():
+        counts[r.set_name][r.idx] = r.n
+    lost = fractions.where(F.col("nan_fraction") > most_missing).orderBy("patch_row", "patch_col").collect()
+    return {
+        "seed": seed, "buffer_radius": radius, "grid_shape": list(shape), "patch_size": size, "block_size": block_size, "num_channels": len(channels), "seasons": seasons, "channel_names": channels, **git_tags(),
+        "label_mapping": {str(k): v for k, v in mapping.items()}, "class_names": {str(v): names[k] for k, v in mapping.items()}, "patches_per_split": n, "class_counts_per_split": counts,
+        "discarded": [{"row": r.patch_row, "col": r.patch_col, "nan_fraction_features": r.nan_fraction} for r in lost], "block_labels": table("set_id"), "keep_mask": table("keep"),
+    }
+
+
+@dataclasses.dataclass(frozen=True)
+class CandidateResult:
+    """What was found for one area: the tiles counted, its box (west, south, east, north) and the scenes by season."""
+
+    grid_code: list[str]
+    bbox: tuple[float, float, float, float]
+    scene_counts: dict[str, int]
+
+
+@dataclasses.dataclass(frozen=True)
+class AnalysisResult:
+    """Which areas are good enough, and what was found for each."""
+
+    valid_candidates: list[str] = dataclasses.field(default_factory=list)
+    candidates_results: dict[str, CandidateResult] = dataclasses.field(default_factory=dict)
+
+
+def analysis(boxes: dict[str, tuple[float, float, float, float]], tiles: DataFrame, counts: DataFrame, least: int, least_by_season: int) -> AnalysisResult:
+    """The result of the first look at all areas, from (candidate, tile) and (candidate, season, n_scenes); a few rows each."""
+    by_tile: dict[str, list[str]] = {c: [] for c in boxes}
+    for r in tiles.select("candidate", "tile").distinct().orderBy("candidate", "tile").collect():
+        by_tile[r.candidate].append(r.tile)
+    found = {c: {s: 0 for s in pixel.SEASONS} for c in boxes}
+    for r in counts.collect():
+        found[r.candidate][r.season] = r.n_scenes
+    good = [c for c in boxes if sum(found[c].values()) >= least and min(found[c].values()) >= least_by_season]
+    return AnalysisResult(good, {c: CandidateResult(by_tile[c], boxes[c], found[c]) for c in boxes})
+
+
 def statistics(stats: DataFrame, percentiles: tuple[float, float], seasons: list[str], channels: list[str]) -> dict:
     """Normalisation statistics, a row per channel, as the JSON that readers take."""
     rows = sorted(stats.collect(), key=lambda r: r.channel)
@@ -53,10 +140,15 @@ def git_revision(folder: str | Path = ".") -> dict:
     return {"sha": sha, "dirty": None if state is None else bool(state)}
 
 
+def git_tags(folder: str | Path = ".") -> dict:
+    git = git_revision(folder)
+    return {"git_sha": git["sha"], "git_dirty": git["dirty"]}
+
+
 def raster_tags(channels: list[str], aoi: str, **extra: object) -> dict[str, str]:
     """Provenance as strings: time, channels, area, revision."""
-    git = git_revision()
-    return {"created": datetime.now(timezone.utc).isoformat(), "channels": ",".join(channels), "n_channels": str(len(channels)), "aoi": aoi, "git_sha": str(git["sha"]), "git_dirty": str(git["dirty"]), **{k: str(v) for k, v in extra.items()}}
+    git = {k: str(v) for k, v in git_tags().items()}
+    return {"created_utc": datetime.now(timezone.utc).isoformat(), "channel_names": ",".join(channels), "n_channels": str(len(channels)), "aoi": aoi, **git, **{k: str(v) for k, v in extra.items()}}
 
 
 def stamped(df: DataFrame, tags: dict[str, str]) -> DataFrame:
