@@ -135,8 +135,13 @@ def sorted_sets(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of consecutive ranges, empty ones 0; integers exactly (unsigned modulo 2**64)."""
-    total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind in "uf" else np.int64)
+    """Sums of consecutive ranges, empty ones 0; integers exactly (unsigned modulo 2**64), floats by range, whatever stands beside it."""
+    if values.dtype.kind == "f":
+        out, some = np.zeros(len(at) - 1), at[1:] > at[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(values[: at[-1]].astype(np.float64), at[:-1][some])
+        return out
+    total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "u" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
 

@@ -8,8 +8,9 @@ stood alone, so a random string joined to ordinary text is found; of overlapping
 threshold counts. Candidates are found and scored for whole blocks of texts in numpy. Spans of the models are added where they
 overlap no span of the patterns, which stay as they are.
 
-Null texts count as empty and have no spans. Every text is searched whole. Repeated rows give equal rows; other columns
-pass through, except one named like the output, which it replaces.
+Null texts count as empty and have no spans. Every text is searched whole, however long. Repeated rows give equal rows,
+whatever rows stand beside them; an empty table gives an empty one. Other columns pass through, except one named like the
+output, which it replaces.
 """
 
 from __future__ import annotations
@@ -195,7 +196,8 @@ def modelled(ratio: Ratio, data: np.ndarray, offsets: np.ndarray) -> Iterator[tu
     starts, stops = starts[long], stops[long]
     if not len(starts):
         return
-    seen = [np.logical_or.reduceat(t[data], np.stack((starts, np.minimum(stops, len(data) - 1)), 1).ravel())[::2] for t in (_DIGIT, _LOWER, _UPPER)]
+    more = np.append(data, np.uint8(0))  # reduceat takes no index past the end
+    seen = [np.logical_or.reduceat(t[more], np.stack((starts, stops), 1).ravel())[::2] for t in (_DIGIT, _LOWER, _UPPER)]
     mixed = (seen[0] & (seen[1] | seen[2])) | (seen[1] & seen[2])
     starts, stops = starts[mixed], stops[mixed]
     if not len(starts):

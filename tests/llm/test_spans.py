@@ -44,6 +44,19 @@ def test_secret_patterns_equal_plain_ones():
         assert sorted(secrets.patterns(t)) == brute_secrets(t)
 
 
+def test_rows_alone_and_together():
+    """What a row gives doesn't depend on its neighbours in a block."""
+    import pyarrow as pa
+
+    r = random.Random(12)
+    strings = ["".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(23)).lower() + r.choice("0123456789Q") for _ in range(60)]
+    texts = [f"see {s}" for s in strings] + ["", "call (184) 555-7766", "x " * 50 + strings[0]]
+    for find, in ((secrets.finder(secrets.default_ratio()),), (pii.finder(pii.default_field()),)):
+        whole = find(pa.record_batch({"spans": texts}), "spans")
+        assert whole == [find(pa.record_batch({"spans": [t]}), "spans")[0] for t in texts]
+        assert whole == find(pa.record_batch({"spans": texts[::-1]}), "spans")[::-1]
+
+
 @pytest.mark.parametrize(("module", "brute", "kinds"), [(pii, brute_pii, pii.KINDS), (secrets, brute_secrets, secrets.BASE_KINDS)])
 def test_odd_rows(odd, none, module, brute, kinds):
     extra = [(90, "call +1 (184) 555-7766 or mail ab.c@mail.example.com é token = '24be64439e3e49cf46b2d7c90f3602a3d0b907ff'")]
