@@ -10,9 +10,10 @@ pairs with k - m hits are candidates, which loses no pair. Candidates are confir
 Everything is DataFrame functions. The sketch table is written and read again, so that Spark knows its size and
 broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``; a larger benchmark joins by shuffle.
 
-Null and empty texts contain nothing. An item of fewer than five words is one shingle of its words, sought among the
+Null and empty texts contain nothing; very long ones are searched whole. An item of fewer than five words is one shingle of its words, sought among the
 windows of as many words; an item without words is found nowhere. Rows without an id are ignored. Rows that repeat an
-id count as one document (or item) with all their shingles. Columns other than ids and texts are not read.
+id count as one document (or item) with all their shingles. Columns other than ids and texts are not read, so their
+names can't clash. An empty table on either side gives no row.
 """
 
 from __future__ import annotations
@@ -73,23 +74,24 @@ def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     sketch = scratch.write(sketches(full), "sketch")
     source = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    def exploded(rows: DataFrame, key, name: str) -> DataFrame:
-        """A row per window, with the number of windows of the document.
+    def windowed(rows: DataFrame, key, *more: str) -> DataFrame:
+        """All windows of each row's text as one array, ``all``."""
+        w = rows.select("doc_id", *more, words(F.col("text")).alias("w"))
+        return w.select("doc_id", *more, F.concat(*[windows(F.col("w"), k, key) for k in lengths or [SHINGLE]]).alias("all"))
 
-        explode would put a filter on the array below the projection that makes it, and so split the text again for
-        every window; explode_outer doesn't, and the joins drop its nulls.
-        """
-        w = rows.select("doc_id", words(F.col("text")).alias("w"))
-        arrays = [windows(F.col("w"), k, key) for k in lengths or [SHINGLE]]
-        return w.select("doc_id", F.concat(*arrays).alias("all")).select("doc_id", F.size("all").alias("size"), F.explode_outer("all").alias(name))
-
-    found = exploded(source, F.xxhash64, "hash").join(sketch, "hash").where("size >= least")
+    # explode would put a filter on the array below the projection that makes it, and so split the text again for every
+    # window; explode_outer doesn't, and the join drops its nulls
+    found = windowed(source, F.xxhash64).select("doc_id", F.explode_outer("all").alias("hash")).join(sketch, "hash")
     candidates = found.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("seen"), F.max("hits").alias("hits")).where("seen >= hits")
     candidates = scratch.write(candidates.select("doc_id", "item_id"), "candidates")
-    scratch.keep_only("items", "candidates")
-    texts = source.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    shared = exploded(texts, _joined, "shingle").select("doc_id", "shingle").join(full.select("item_id", "n", "shingle"), "shingle").join(candidates, ["doc_id", "item_id"], "left_semi")
-    exact = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"), F.max("n").cast("long").alias("n_item"))
+    # the items that were found, each with its shingles in a row; a document meets its own candidates by id, so no
+    # shingle is a key, however common
+    wanted = full.join(candidates.select("item_id").distinct(), "item_id", "left_semi").groupBy("item_id").agg(F.collect_list("shingle").alias("shingles"))
+    wanted = scratch.write(wanted, "wanted")
+    scratch.keep_only("candidates", "wanted")
+    pairs = windowed(source.join(candidates, "doc_id"), _joined, "item_id").join(wanted, "item_id")
+    shared = pairs.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_item"), F.explode(F.array_intersect("all", "shingles")).alias("shingle"))
+    exact = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"), F.max("n_item").alias("n_item"))
     return exact.where("100 * n_shared >= 75 * n_item")
 
 
