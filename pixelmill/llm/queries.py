@@ -59,7 +59,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_bytes"),
         F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
-        F.regexp_extract("refers_to", "([0-9-]+)>$", 1).try_cast("long").alias("refers_to"),
+        F.col("refers_page").cast("long").alias("refers_to"),
     )
 
 

@@ -1,48 +1,5 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Intermediate tables of the corpus operators, in the folder that the whole cluster shares."""
 
-from __future__ import annotations
+from pixelmill.sources.scratch import Scratch, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests) a temporary folder becomes it."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="pixelmill-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-class Scratch:
-    """Written tables of one query run: they cut the lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/pixelmill/{name}-{uuid.uuid4().hex}"
-        self.names: set[str] = set()
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        self.names.add(name)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-            self.names.discard(name)
-
-    def keep_only(self, *names: str) -> None:
-        """Deletes all tables but those that the result still reads."""
-        self.drop(*self.names.difference(names))
+__all__ = ["Scratch", "shared_dir"]

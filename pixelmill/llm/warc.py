@@ -6,8 +6,15 @@ filters on header columns are pushed down: a record's header is parsed first, an
 rejects is skipped, by a seek in plain files; with option ``payload`` set to false no payload is read. ``.warc.gz``
 files are streams: a skipped payload is inflated, but not made into a row.
 
-Columns: warc_type, record_id, target_uri, date, payload_digest, refers_to, page_id, payload_length (of the full payload,
-for revisits also), payload (binary; null for revisits or when not wanted). Damaged files raise an error.
+Columns: warc_type, record_id, target_uri, date, payload_digest, refers_to (a record id), page_id, refers_page (the page of
+that record, where our writer made it), payload_length (of the full payload, for revisits also), payload (binary; the block
+behind the HTTP header in responses and requests, else the whole block; null for revisits or when not wanted). Header names
+are matched in any case. With option ``verify`` set to true the SHA-1 of each payload read is compared with the digest in its
+header; a difference is an error, as damaged files are.
+
+Null html is an empty payload; very long payloads are written and read whole, one at a time; an empty table writes no file
+and reads as no row. Rows that repeat a page are each written. Of pages only page_id, url and html are read, so other
+columns can't clash.
 
 The writer compresses each record by itself, as the format has it, unless option ``compression`` is none. It writes a
 file per task under a temporary name and renames it when the job commits; a repeated or lost task
@@ -32,13 +39,14 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from pixelmill.llm.shared import Scratch
 
-SCHEMA = "warc_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, page_id string, payload_length long, payload binary"
-_HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "page_id": "X-Page-ID"}
+SCHEMA = "warc_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, page_id string, refers_page string, payload_length long, payload binary"
+_HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "page_id": "X-Page-ID", "refers_page": "X-Refers-To-Page"}
 _ARROW = pa.schema([*[(c, pa.string()) for c in _HEADERS], ("payload_length", pa.int64()), ("payload", pa.binary())])
-PARTITION_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+PARTITION_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    """A file system and the path in it. A path without a scheme is a local one; Scratch's have theirs."""
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
@@ -47,6 +55,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page: str, sha1: str) -> str:
+    """The id of the response record of a page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{sha1}')}>"
+
+
 def record(headers: dict[str, str], block: bytes) -> bytes:
     """One WARC/1.1 record. Line ends in header values become spaces."""
     clean = lambda v: " ".join(v.splitlines()) if v.splitlines() != [v] else v
@@ -66,6 +79,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
+        self.verify = options.get("verify", "false").lower() == "true"
         self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.wanted: dict[str, set[str]] = {}
 
@@ -133,23 +147,28 @@ class WarcReader(DataSourceReader):
             head = buffer[:end].decode("utf-8", "replace").split("\r\n")
             if not head[0].startswith("WARC/"):
                 raise ValueError(f"{path}: no record at {base}")
-            headers = dict(line.partition(": ")[::2] for line in head[1:])
-            length, start = int(headers["Content-Length"]), end + 4
-            values = [headers.get(h) for h in _HEADERS.values()]
+            headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in head[1:])}
+            if "content-length" not in headers:
+                raise ValueError(f"{path}: a record without a length at {base}")
+            length, start = int(headers["content-length"]), end + 4
+            values = [headers.get(h.lower()) for h in _HEADERS.values()]
             keep = all(v in self.wanted[c] for c, v in zip(_HEADERS, values, strict=True) if c in self.wanted)
-            if keep and self.payload and headers.get("WARC-Type") == "response":
+            kind = headers.get("warc-type")
+            if keep and self.payload and kind != "revisit":
                 while len(buffer) < start + length + 4:
                     more = stream.read(max(1 << 14, start + length + 4 - len(buffer)))
                     if not more:
                         raise ValueError(f"{path}: a payload is cut off at {base}")
                     buffer += more
                 block = buffer[start : start + length]
-                payload = block[block.find(b"\r\n\r\n") + 4 :]
+                payload = block.partition(b"\r\n\r\n")[2] if kind in ("response", "request") and "http" in headers.get("content-type", "") else block
+                if self.verify and (said := headers.get("warc-payload-digest", "")).startswith("sha1:") and said[5:].upper() != digest(payload):
+                    raise ValueError(f"{path}: a payload differs from its digest at {base}")
             else:
                 payload = None
-            size = headers.get("X-Payload-Length")
+            size = headers.get("x-payload-length")
             if keep:
-                yield (*values, int(size) if size is not None else None, payload)
+                yield (*values, int(size) if size is not None else None if payload is None else len(payload), payload)
             rest = start + length + 4
             if rest <= len(buffer):
                 buffer, base = buffer[rest:], base + rest
@@ -165,7 +184,11 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes rows of (page_id, url, html, refers_to): a response, or a revisit where refers_to is set."""
+    """Writes rows of (page_id, url, html, refers_to): a response, or a revisit where the page refers_to is set.
+
+    A response's record id follows from its page and digest, so a revisit names it without having seen it; rows that
+    repeat a page with the same payload are records of one id. Records of pages without an id, and revisits, have random ids.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -182,10 +205,14 @@ class WarcWriter(DataSourceArrowWriter):
                 for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                     any_row = True
                     payload = (html or "").encode("utf-8", "surrogatepass")
-                    headers = {"WARC-Type": "revisit" if refers is not None else "response", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": now, "WARC-Payload-Digest": "sha1:" + digest(payload), "X-Payload-Length": str(len(payload))}
-                    for header, value in (("WARC-Target-URI", url), ("X-Page-ID", page), ("WARC-Refers-To", refers)):
+                    sha1 = digest(payload)
+                    own = record_id(page, sha1) if page is not None and refers is None else f"<urn:uuid:{uuid.uuid4()}>"
+                    headers = {"WARC-Type": "revisit" if refers is not None else "response", "WARC-Record-ID": own, "WARC-Date": now, "WARC-Payload-Digest": "sha1:" + sha1, "X-Payload-Length": str(len(payload))}
+                    for header, value in (("WARC-Target-URI", url), ("X-Page-ID", page), ("X-Refers-To-Page", refers)):
                         if value is not None:
-                            headers[header] = f"<urn:page:{value}>" if header == "WARC-Refers-To" else str(value)
+                            headers[header] = str(value)
+                    if refers is not None:
+                        headers["WARC-Refers-To"] = record_id(refers, sha1)
                     if refers is not None:
                         headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
                     headers["Content-Type"] = "application/http; msgtype=response"
@@ -233,14 +260,15 @@ def register(spark: SparkSession) -> None:
 def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is the least page_id of equal payloads, null for that page itself.
 
-    Only digests move for the search; a payload moves once, by its page. Payloads under ``least_bytes`` and pages
+    Only digests move for the search; a payload moves once, by its page and digest. Payloads under ``least_bytes`` and pages
     without an id are all responses, and so are rows that repeat a page_id.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    slim = pages.where(F.col("page_id").isNotNull()).select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= least_bytes)
+    keyed = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("digest"))
+    slim = keyed.where(F.col("page_id").isNotNull()).select("page_id", "digest", F.octet_length(html).alias("size")).where(F.col("size") >= least_bytes)
     first = slim.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
-    refers = slim.join(first, ["digest", "size"]).where("page_id > refers_to").groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
-    return pages.select("page_id", "url", "html").join(refers, "page_id", "left")
+    refers = slim.join(first, ["digest", "size"]).where("page_id > refers_to").groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to"))
+    return keyed.join(refers, ["page_id", "digest"], "left").drop("digest")
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -250,4 +278,15 @@ def archived(pages: DataFrame) -> DataFrame:
     where = Scratch(spark, "warc").path("archive")
     text = deduplicated(pages).select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
     text.write.format("warc").mode("append").save(where)
-    return spark.read.format("warc").option("payload", "true").load(where)
+    return spark.read.format("warc").option("payload", "true").option("verify", "true").load(where)
+
+
+#: What op9 returns, for pages with distinct ids: base32 takes 20 bits of the SHA-1, five hexadecimal digits, to four characters.
+ORACLE_SQL = r"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+q as (
+  select page_id, octet_length(encode(html))::bigint as payload_bytes, min(page_id) over (partition by h) as first,
+    array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i * 5 + 1)::int, 5))::int >> s::int) & 31) + 1, 1)), '')), '') as payload_digest
+  from p)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from q
+"""
