@@ -107,9 +107,37 @@ def test_archives(spark, tmp_path):
         first = firsts[h or ""] if i is not None else None
         revisit = i is not None and first != i
         raw = (h or "").encode()
-        want.append((str(i) if i is not None else None, "revisit" if revisit else "response", "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode(), len(raw), f"<urn:page:{first}>" if revisit else None, None if revisit else raw))
-    found = [(r.page_id, r.warc_type, r.payload_digest, r.payload_length, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got.collect()]
+        want.append((str(i) if i is not None else None, "revisit" if revisit else "response", "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode(), len(raw), str(first) if revisit else None, None if revisit else raw))
+    records = got.collect()
+    found = [(r.page_id, r.warc_type, r.payload_digest, r.payload_length, r.refers_page, None if r.payload is None else bytes(r.payload)) for r in records]
     assert sorted(found, key=repr) == sorted(want, key=repr)
+    named = {r.record_id: r for r in records if r.warc_type == "response"}
+    assert all(named[r.refers_to].page_id == r.refers_page and named[r.refers_to].payload_digest == r.payload_digest for r in records if r.refers_to is not None)
+
+
+def test_pages_that_repeat_an_id_with_other_html(spark):
+    rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "other"), (3, "u", "other")]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.warc_type, r.refers_page) for r in got) == [("1", "response", None), ("2", "response", None), ("2", "revisit", "1"), ("3", "revisit", "2")]
+
+
+def test_foreign_archives(tmp_path):
+    """Other record types, header names in other cases, and no private headers."""
+    body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    raw = b"".join(f"WARC/1.0\r\nwarc-type: {kind}\r\ncontent-type:{mime}\r\nWARC-PAYLOAD-DIGEST: {sha1}\r\nCONTENT-LENGTH:  {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+                   for kind, mime, block in (("warcinfo", "application/warc-fields", b"hello"), ("response", "application/http; msgtype=response", body), ("resource", "text/plain", b"hello"), ("conversion", "text/plain", b"hello")))
+    (tmp_path / "a.warc").write_bytes(raw)
+
+    def read(**options):
+        reader = warc.WarcReader({"path": str(tmp_path / "a.warc"), **options})
+        return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    assert [(r["warc_type"], r["payload"], r["payload_length"]) for r in read(verify="true")] == [(k, b"hello", 5) for k in ("warcinfo", "response", "resource", "conversion")]
+    (tmp_path / "a.warc").write_bytes(raw.replace(b"hello", b"hellO"))
+    with pytest.raises(ValueError, match="differs"):
+        read(verify="true")
+    assert [r["payload"] for r in read()] == [b"hellO"] * 4
 
 
 @pytest.mark.parametrize("compression", ["gzip", "none"])
