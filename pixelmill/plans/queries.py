@@ -78,8 +78,8 @@ def seasonal_composite(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f'with {t.COMPOSITE_SQL} select season, "row", col, {", ".join(pixel.CHANNELS)} from composite')
-def seasonal_composite_sorted(spark: SparkSession, d: str) -> DataFrame:
-    return composite.seasonal_composite_sorted(_masked(spark, d))
+def seasonal_composite_median(spark: SparkSession, d: str) -> DataFrame:
+    return composite.seasonal_composite_median(_masked(spark, d))
 
 
 _MISSING = " + ".join(f"case when {c} is null then 1 else 0 end" for c in pixel.CHANNELS)

@@ -48,7 +48,7 @@ def test_composite_equals_numpy(spark):
     rows, df = scenes(spark)
     masked = composite.masked_pixels(df)
     got = {(r.row, r.col): r for r in composite.seasonal_composite(masked).collect()}
-    other = {(r.row, r.col): r for r in composite.seasonal_composite_sorted(masked).collect()}
+    other = {(r.row, r.col): r for r in composite.seasonal_composite_median(masked).collect()}
     for (i, j), r in got.items():
         own = np.array([x[4:] for x in rows if x[2:4] == (i, j)], float)
         dn = np.where(np.isin(own[:, 10], pixel.HIDDEN_CLASSES)[:, None] | (own[:, :10] == 0), np.nan, own[:, :10])
@@ -120,3 +120,23 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 
     plan = catalog.search(tables.stac_items(spark, sf), "1996-03-01", "1996-05-31", 30.0)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "o_orderstatus" not in plan
+
+
+def test_tiles_of_one_catalogue_stay_apart(spark):
+    rows = [(tile, s, k, 0, 0, k * 1.0 + (tile == "b") * 10) for tile in "ab" for s in ("DJF", "MAM") for k in range(3)]
+    masked = spark.createDataFrame(rows, "tile string, season string, scene_id int, row int, col int, red double")
+    keys = ("tile", *composite.KEYS)
+    made = composite.seasonal_composite(masked, ("red",), keys)
+    assert sorted(tuple(r) for r in made.collect()) == [(t, s, 0, 0, v) for t, v in (("a", 1.0), ("b", 11.0)) for s in ("DJF", "MAM")]
+    stack = composite.season_stack(made, ("red",), ("DJF", "MAM"), keys=keys)
+    assert sorted((r.tile, r.DJF_red, r.MAM_red) for r in stack.collect()) == [("a", 1.0, 1.0), ("b", 11.0, 11.0)]
+    assert composite.season_stack(made.where("tile = 'a' and season = 'DJF'"), ("red",), ("DJF", "MAM"), keys=keys).count() == 0
+
+
+def test_more_classes_than_indexes_are_an_error(spark):
+    from pixelmill.operators import labels
+
+    df = spark.range(300).selectExpr("cast(id as int) as row", "0 as col", "cast(id as int) as class")
+    with pytest.raises(Exception, match="more than 255 classes"):
+        labels.remapped(df).collect()
+    assert labels.remapped(df.where("row < 256")).where("idx = 254").count() == 1
