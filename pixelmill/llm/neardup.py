@@ -18,7 +18,8 @@ With 70 bands of 6 registers a pair at similarity 0.75 shares no band with proba
 probability 0.05, so large groups of loosely related texts give few candidates.
 
 Null texts, empty texts and texts without words have the empty set and are linked with nothing. Rows without an id are
-kept with a null component. Rows that repeat an id count as one document for linking; each is returned. Columns other
+kept with a null component. Rows that repeat an id count as one document with the links of all their texts; each is returned.
+Very long texts are hashed whole, a slice at a time. An empty table gives an empty one. Columns other
 than id and text are not read.
 """
 
@@ -40,6 +41,8 @@ SHINGLE, REGISTERS, ROWS, MANTISSA = 5, 420, 6, 10
 NUMERATOR, DENOMINATOR = 75, 100
 #: Standard errors of the estimate below the threshold at which a pair is given up without confirmation.
 MARGIN = 5.0
+#: Sets of so few shingles are confirmed without an estimate: a bucket that two of them share counts for much.
+TINY = 16
 BLOCK = 256
 
 
@@ -174,7 +177,7 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 continue
             regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("ra", "rb")]
             n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            yield batch.select(["a", "b"]).filter(pa.array(estimate(*regs, n, m) >= _FLOOR))
+            yield batch.select(["a", "b"]).filter(pa.array((estimate(*regs, n, m) >= _FLOOR) | (np.maximum(n, m) <= TINY)))
 
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
@@ -209,7 +212,7 @@ def _block_pairs(part: np.ndarray, i: int, j: int, ids: np.ndarray, comps: np.nd
         small, large = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
         others = others[small * DENOMINATOR >= large * NUMERATOR]
         if len(others):
-            good = others[estimate(regs[others], regs[x], sizes[others], sizes[x]) >= _FLOOR]
+            good = others[(estimate(regs[others], regs[x], sizes[others], sizes[x]) >= _FLOOR) | (np.maximum(sizes[others], sizes[x]) <= TINY)]
             good = good[[_brief_allow(brief[x], brief[y]) for y in good.tolist()]] if len(good) else good
             yield np.minimum(ids[good], ids[x]), np.maximum(ids[good], ids[x])
 
@@ -275,16 +278,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id: str = "doc_id", text: str =
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, n_links, component_id, kept) per row of ``docs``.
-
-    ``n_links`` counts the confirmed links of the document's class; ``component_id`` is the least id that links reach.
-    """
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs``; ``component_id`` is the least id that links reach."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     all_sketches = scratch.write(sketch(docs, id, text), "sketch")
     full = all_sketches.where("n > 0 and id is not null")
     classes = scratch.write(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    sketches = scratch.write(full.join(classes.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "registers"), "reps")
+    # an id that is repeated with several sets represents each of them, and links their classes
+    sketches = scratch.write(full.join(classes.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id", "n", "d1", "d2"]).select("id", "n", "registers"), "reps")
     banded = scratch.write(bands(sketches), "bands")
     pivots = banded.groupBy("key").agg(F.min(F.struct("id", F.col("n").alias("na"))).alias("p"), F.count("*").alias("members")).where("members > 1").select("key", "p.*", "members").withColumnRenamed("id", "a")
     members = scratch.write(banded.join(pivots, "key").where("a <> id").select("key", "members", "a", "na", "id", "n"), "members")
@@ -293,7 +294,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     def link(pairs: DataFrame, k: int) -> DataFrame:
         return scratch.write(confirmed(scratch.write(pairs, f"chosen{k}"), docs, id, text).distinct(), f"links{k}")
 
+    repeated = full.groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("x"), F.max(F.struct("n", "d1", "d2")).alias("y")).where("x <> y").select("id")
+    same_id = full.join(repeated, "id").select("id", "n", "d1", "d2").distinct().join(classes, ["n", "d1", "d2"]).where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
     links = link(promising(members.where(_sizes_allow("n", "na")).select("a", F.col("id").alias("b")).distinct(), sketches), 0)
+    links = scratch.write(links.unionByName(same_id).distinct(), "links")
     found = components(links, scratch, "cc0_")
     # pairs with the pivot are done; a bucket is open while its other members differ
     others = members.where("members > 2").join(found, "id", "left").select("key", "members", "id", F.coalesce("component", "id").alias("component"))
@@ -305,11 +309,26 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links, scratch, "cc1_")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    by_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    by_class = by_class.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    by_class = scratch.write(by_class, "labels")
+    by_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    by_class = scratch.write(by_class.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "labels")
     scratch.keep_only("sketch", "labels")
     out = all_sketches.select("id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left")
     component = F.coalesce(F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")), F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+#: The same by comparing all pairs that share a shingle, for documents with distinct ids.
+ORACLE_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (select distinct doc_id, hash(unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end)) as s from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+ends as (select a, b from links union all select b, a from links),
+reach as (select a as id, a as other from ends union select r.id, e.b from reach r join ends e on r.other = e.a),
+least_of as (select id, min(other) as c from reach group by id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(c, d.doc_id) as component_id, coalesce(c, d.doc_id) = d.doc_id as kept
+from d left join n on n.doc_id = d.doc_id left join least_of on id = d.doc_id
+"""

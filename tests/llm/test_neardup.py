@@ -76,6 +76,15 @@ def test_open_buckets_are_split_into_blocks(spark, monkeypatch):
     test_chains_and_groups(spark)
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    one, two, three = ([word() for _ in range(40)] for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], word()])
+    rows = [(5, near(one)), (5, near(two)), (3, near(one)), (9, near(two)), (7, " ".join(three)), (8, near(three)), (8, " ".join(one)), (20, "a b c"), (20, "d e f"), (21, "D E F"), (None, near(one))]
+    check(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+
+
 def test_components_of_a_path_and_a_hot_vertex(spark):
     edges = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(1001, 1300)] + [(5, 5), (None, 3)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
