@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from pixelmill.llm import kernel
 
+NAMES = ("too_short", "repeated_windows", "symbols", "shouting", "echoes", "repeated_lines", "word_length")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_echo_words", "n_letters", "n_upper")
 WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
@@ -54,7 +55,7 @@ class Policy:
 
     @property
     def mask(self) -> int:
-        bits = {name: 1 << k for k, name in enumerate(rules())}
+        bits = {name: 1 << k for k, name in enumerate(NAMES)}
         return sum(bits[n] for n in self.names)
 
 
@@ -146,3 +147,31 @@ def ablation(book: DataFrame, policy: Policy = V1) -> DataFrame:
 def judged(docs: DataFrame, policy: Policy = V1, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ledger with ``base_failed`` and the policy's verdict ``kept``."""
     return ledger(docs, text, carry).withColumns({"base_failed": failed(BASE), "kept": ~failed(BASE) & ~failed(policy)})
+
+
+_LIMITS = {
+    "too_short": "n_words < 20", "repeated_windows": "100 * n_repeat_words > 30 * n_words", "symbols": "n_words >= 20 and 100 * n_symbols > 25 * n_words",
+    "shouting": "n_words >= 20 and 100 * n_upper > 60 * n_letters", "echoes": "n_words >= 20 and 100 * n_echo_words > 25 * n_words",
+    "repeated_lines": "n_lines >= 5 and 100 * n_dup_lines > 60 * n_lines", "word_length": "n_words >= 20 and (word_chars < 2 * n_words or word_chars > 16 * n_words)",
+}
+
+
+def oracle_sql() -> str:
+    """The ledger's measures, bits and verdicts under V1 in DuckDB SQL, for documents with distinct ids."""
+    bits = " + ".join(f"case when {_LIMITS[name]} then {1 << k} else 0 end" for k, name in enumerate(NAMES))
+    return rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+win as (select doc_id, unnest(range(1, len(w) - {WINDOW - 2})) as i, w from w where len(w) >= {WINDOW}),
+keyed as (select doc_id, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') as k from win),
+twice as (select doc_id, i from keyed qualify count(*) over (partition by doc_id, k) > 1),
+covered as (select doc_id, count(distinct i + j) as n from twice, (select unnest(range(0, {WINDOW})) as j) group by doc_id),
+m as (
+  select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as n_letters, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper,
+    len(lines) as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_echo_words
+  from w left join covered using (doc_id)),
+b as (select *, ({bits})::bigint as failed_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {BASE.mask} <> 0 as base_failed, failed_bits & {V1.mask | BASE.mask} = 0 as kept, failed_bits from b
+"""

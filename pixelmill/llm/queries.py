@@ -69,5 +69,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_secrets, op2_lm_scoring, op3_pii, op4_language_id, op5_byte_bpe, op6_minhash_near_dedup, op7_license_rules, op8_quality_rules, op9_warc, op10_decontamination)
 QUERIES = {f.__name__: f for f in _ALL}
-#: The others have no SQL form (trained models, sketches, BPE, archives) and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op7_license_rules": licenses.oracle_sql(), "op10_decontamination": decontaminate.ORACLE_SQL}
+#: The others have no SQL form (trained models, BPE) and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_minhash_near_dedup": neardup.ORACLE_SQL,
+    "op7_license_rules": licenses.oracle_sql(),
+    "op8_quality_rules": quality.oracle_sql(),
+    "op9_warc": warc.ORACLE_SQL,
+    "op10_decontamination": decontaminate.ORACLE_SQL,
+}

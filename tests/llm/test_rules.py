@@ -55,7 +55,8 @@ def test_ablation_equals_counting(odd):
         assert (r.n_failed, r.n_only, r.n_without) == (sum(bool(b & bit) for b in own), sum(b == bit for b in own), sum(bool(b & ~bit) for b in own))
 
 
-def test_policies_nest():
+def test_policies_nest(spark):
+    assert tuple(quality.rules()) == quality.NAMES
     assert quality.BASE.mask & quality.V1.mask == quality.BASE.mask
 
 
