@@ -218,6 +218,10 @@ def from_dict(raw: dict) -> Config:
     return Config(Aoi(**aoi), Stac(**raw["stac"]), Msi(**msi), Indices(**({"roles": raw["indices"]} if "indices" in raw else {})), Composites(**composites), Labels(**labels), Patches(**patches), Reporting(**reporting))
 
 
+def from_toml(text: str) -> Config:
+    return from_dict(tomllib.loads(text))
+
+
 def load(path: str | Path) -> Config:
     with open(path, "rb") as f:
         return from_dict(tomllib.load(f))

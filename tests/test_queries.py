@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from pixelmill.plans import files  # noqa: F401  (adds its queries)
 from pixelmill.plans.queries import ORACLE_SQL, QUERIES
 from tests.conftest import same_rows
 
