@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from pixelmill.functions import pixel
 from pixelmill.sources import tiff
-from pixelmill.sources.scratch import Scratch
+from pixelmill.sources.scratch import Scratch, file_system, listed
 
 T = TypeVar("T")
 Window = tuple[int, int, int, int]
@@ -61,14 +61,10 @@ def opened(path: str):
     """A file to read at any place, by any address that pyarrow or a web server knows."""
     if path.startswith(("http://", "https://")):
         return RangeFile(path)
-    fs, name = _system(path)
+    fs, name = file_system(path)
     return fs.open_input_file(name)
 
 
-def _system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def retried(run: Callable[[], T], attempts: int = 5, least: float = 2, most: float = 60, sleep: Callable[[float], None] = time.sleep) -> T:
     """What ``run`` returns; after an error of input or output it is tried again, each time after twice the wait."""
     for k in range(attempts):
@@ -143,14 +139,10 @@ class GeoTiffSource(DataSource):
 def _files(path: str) -> list[str]:
     if path.startswith(("http://", "https://")):
         return [path]
-    fs, root = _system(path)
-    if fs.get_file_info(root).type == pafs.FileType.File:
-        return [path]
-    before = path[: len(path) - len(root)] if path.endswith(root) else ""
-    found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type == pafs.FileType.File and f.extension.lower() in ("tif", "tiff") and not f.base_name.startswith(("_", ".")))
+    found = listed(path, (".tif", ".tiff"))
     if not found:
         raise FileNotFoundError(f"no rasters in {path}")
-    return [before + f for f in found]
+    return found
 
 
 class GeoTiffReader(DataSourceReader):
@@ -237,7 +229,7 @@ def _assembled(spark: SparkSession, tiles: DataFrame, path: str, profile: tiff.P
             else:
                 yield empty
 
-    fs, name = _system(path)
+    fs, name = file_system(path)
     folder = name.rpartition("/")[0]
     if folder:
         fs.create_dir(folder, recursive=True)

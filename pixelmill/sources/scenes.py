@@ -8,12 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan
 
 from pixelmill.functions import pixel
+from pixelmill.sources.scratch import file_system, listed
 
 ITEM = "id string, datetime timestamp_ntz, bbox array<double>, properties struct<`eo:cloud_cover`: double, `grid:code`: string>, assets map<string, struct<href: string>>"
 
@@ -132,19 +132,14 @@ class StacReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """A partition per file: ``path`` is a file, or a folder of files, in any file system that Arrow knows."""
-        fs, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
-        if fs.get_file_info(root).type == pafs.FileType.File:
-            return [InputPartition(self.path)]
-        before = self.path[: len(self.path) - len(root)] if self.path.endswith(root) else ""
-        found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
-        return [InputPartition(before + f) for f in found] or [InputPartition("")]
+        return [InputPartition(f) for f in listed(self.path)] or [InputPartition("")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         tests = {"EqualTo": lambda a, b: a == b, "LessThan": lambda a, b: a < b, "GreaterThanOrEqual": lambda a, b: a >= b}
         path = partition.value
         if not path:
             return
-        fs, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        fs, name = file_system(path)
         with fs.open_input_stream(name) as raw:
             for line in io.TextIOWrapper(raw, encoding="utf-8"):
                 if not line.strip():

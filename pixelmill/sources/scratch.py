@@ -5,9 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a path, for drivers and tasks, and the path in it. A path without a scheme is a local one."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def listed(path: str, endings: tuple[str, ...] = ("",)) -> list[str]:
+    """``path`` if it is a file; else the files below it, in order, that aren't hidden and have one of the endings."""
+    fs, root = file_system(path)
+    if fs.get_file_info(root).type == pafs.FileType.File:
+        return [path]
+    before = path[: len(path) - len(root)] if path.endswith(root) else ""
+    found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+    return sorted(before + f.path for f in found if f.type == pafs.FileType.File and f.base_name.lower().endswith(endings) and not f.base_name.startswith(("_", ".")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session as a path with its scheme.
 

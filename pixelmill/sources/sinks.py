@@ -13,12 +13,12 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.functions import pixel
 from pixelmill.operators.split import SETS
+from pixelmill.sources.scratch import file_system
 
 
 def write_pixels(df: DataFrame, path: str, tile: int, by: tuple[str, ...] = ("season",), mode: str = "errorifexists") -> None:
@@ -51,7 +51,7 @@ def write_npy_patches(df: DataFrame, path: str, size: int) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        fs, root = file_system(path)
         for frame in frames:
             for name, number, features, labels in zip(frame.set_name, frame.number, frame.features, frame.labels, strict=True):
                 x = np.stack([np.array([np.nan if v is None else v for v in c], np.float32) for c in features]).reshape(-1, size, size)
