@@ -5,13 +5,16 @@ arrays of n-gram hashes with discounted probabilities, and of context hashes wit
 Texts take the language of the lowest cross-entropy per character. Blocks of texts are scored together: their distinct
 4-grams are looked up once, by binary search.
 
-Models are fitted on a bounded sample: per language about PER_LANGUAGE rows, chosen by a hash of the id. A tenth of the
-sample is kept out of the counts to calibrate rejection: a text whose best cross-entropy lies above that language's
-threshold gets ``rejected`` and half its score, but keeps its best language.
+Models are fitted on a bounded sample: per language about PER_LANGUAGE ids, chosen by a hash, and of these, shortest-first
+by whether they exceed LONGEST bytes and then by hash, as many as BYTES hold, one at least. The sample is all that comes to
+the driver. A tenth of it is kept out of the counts to calibrate rejection: a text whose best cross-entropy lies above that
+language's threshold gets ``rejected`` and half its score, but keeps its best language.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows without a language, text or id are not learned
-from. With nothing to learn from every text is ``und``. Very long texts are scored whole; ties go to the first language
-in order of names; repeated rows give equal rows.
+from; rows that repeat an id are learned from once (the least text). With nothing to learn from every text is ``und``; an
+empty table gives an empty one. Very long texts are scored whole; ties go to the first language in order of names;
+repeated rows give equal rows, whatever rows stand beside them. Other columns pass through, except those named like the
+output, which it replaces.
 """
 
 from __future__ import annotations
@@ -22,40 +25,36 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelmill.llm import kernel
 
 ORDER, PER_LANGUAGE, ALPHABET = 4, 300, 4000
+#: Bytes of the sample of a language, and of a text beyond which others are taken first.
+BYTES, LONGEST = 4 << 20, 1 << 18
 UNKNOWN = "und"
 _BITS = np.uint64(12)
 
 
 def _letters() -> np.ndarray:
-    table = np.zeros(0x110000, bool)
-    table[:0x3400] = [chr(k).isalpha() for k in range(0x3400)]
-    table[0x3400:0xD800] = True
-    table[0xF900:0xFE00] = True
-    table[0xFE70:0xFF00] = True
-    table[0xFF00:0x10000] = [chr(k).isalpha() for k in range(0xFF00, 0x10000)]
-    table[0x10000:0x323B0] = [chr(k).isalpha() for k in range(0x10000, 0x323B0)]
-    return table
+    return np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
 
 
 _LETTER = _letters()
 
 
 def _symbols(texts: list[str], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the letters of all texts, boundaries 0 between; where each text begins. A text begins with a boundary."""
+    """Numbers of the letters of all texts, and where each text begins: runs of other characters are a boundary, 0, and a
+    text ends with one. What else is in the block changes nothing: none begins with one.
+    """
     points = np.frombuffer("".join(t.lower() + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     ids = np.where(_LETTER[points], number[points], 0)
     sizes = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
     begins = np.concatenate(([0], np.cumsum(sizes + 1)))
-    keep = np.ones(len(ids), bool)
-    keep[1:] = (ids[1:] != 0) | (ids[:-1] != 0)
-    keep[begins[1:] - 1] = True
+    keep = ids != 0
+    keep[1:] |= ids[:-1] != 0
     total = np.concatenate(([0], np.cumsum(keep)))
     return ids[keep].astype(np.uint64), total[begins]
 
@@ -131,7 +130,7 @@ def _entropies(models: Models, number: np.ndarray, texts: list[str]) -> tuple[np
     ids, at = _symbols(texts, number)
     codes, distinct = pd.factorize(_grams(ids, at, ORDER).view(np.int64))
     distinct = distinct.view(np.uint64)
-    size = np.diff(at)
+    size = np.maximum(np.diff(at), 1)
     out = np.empty((len(texts), len(models.models)))
     for k, model in enumerate(models.models):
         out[:, k] = -kernel.row_sums(model.log10(distinct)[codes], at) / size
@@ -152,16 +151,24 @@ def _score(models: Models, number: np.ndarray, texts: list[str]) -> tuple[list[s
     return names, np.where(none, 0.0, np.where(rejected, 0.5, 1.0) * share), rejected & ~none
 
 
+def share_limit(wanted: int, rows: int) -> int:
+    """The 53-bit hash below which about ``wanted`` of so many rows lie; at least 1, and all of few rows."""
+    return max(1, min(1 << 53, (wanted << 53) // max(rows, 1)))
+
+
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Models:
     """Models from labelled rows, of which about ``per_language`` by language are used."""
-    rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(id).isNotNull())
-    share = {r[lang]: min(1.0, per_language / r["count"]) for r in rows.groupBy(lang).count().collect()}  # a row per language
-    if not share:
+    rows = rows.select(F.col(id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("id is not null and lang is not null and text is not null")
+    limits = {r.lang: share_limit(per_language, r["count"]) for r in rows.groupBy("lang").count().collect()}  # a row per language
+    if not limits:
         return Models([], np.zeros(0, np.int64), [], np.zeros(0))
-    wanted = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 1_000_000)))])
-    sample = rows.where(F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit(7)), F.lit(1_000_000)) < wanted[F.col(lang)])
+    limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
+    place = F.shiftrightunsigned(F.xxhash64("id", F.lit(7)), 11)  # 53 bits
+    sample = rows.withColumn("place", place).where(F.col("place") < limit[F.col("lang")]).groupBy("lang", "id", "place").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.octet_length("text") > LONGEST, "place", "id")  # about PER_LANGUAGE rows
+    held = sample.withColumns({"n": F.row_number().over(order), "size": F.sum(F.octet_length("text").cast("long")).over(order)}).where((F.col("n") == 1) | (F.col("size") <= BYTES))
     texts: dict[str, list[str]] = {}
-    for r in sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).orderBy(F.col(id).cast("string"), text).toLocalIterator():
+    for r in held.orderBy("id", "lang").select("lang", "text").toLocalIterator():
         texts.setdefault(r.lang, []).append(r.text)
     points, n = np.unique(np.frombuffer("".join(t.lower() for ts in texts.values() for t in ts).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
     points, n = points[_LETTER[points]], n[_LETTER[points]]

@@ -1,6 +1,7 @@
 """Quality rules, licences, decontamination and language identification."""
 
 import collections
+import math
 import random
 import re
 import textwrap
@@ -165,6 +166,72 @@ def test_language_identification(spark, sf, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_sample_share():
+    assert [langid.share_limit(300, n) for n in (0, 1, 300)] == [1 << 53] * 3
+    assert langid.share_limit(300, 10**10) / 2**53 == pytest.approx(3e-8, rel=1e-6) and langid.share_limit(300, 1 << 62) == 1
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BYTES", 1000)
+    monkeypatch.setattr(langid, "LONGEST", 200)
+    rows = [(k, "abc def " * 20, "aa") for k in range(100)] + [(1000 + k, "xyz " * 5000, "bb") for k in range(5)] + [(5, "again", "aa")] * 50
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.languages == ["aa", "bb"]
+
+
+def test_und_is_a_text_without_a_letter(spark):
+    letters = sorted({0xFEFF, 0x660, 0x3007, 0x2160, 0xAA, 0x16F4, 0x10FFFF, 0x20000, 0x4DC0, 0xA4D0, *range(0x2F0, 0x300)})
+    rows = [(k, chr(k)) for k in letters] + [(1, "abc"), (2, "12 !\ufeff")]
+    models = langid.fit(spark.createDataFrame([(k, "abc abd " * 9, "xx") for k in range(20)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), models).collect()}
+    assert got == {k: "xx" if any(c.isalpha() for c in t) else "und" for k, t in rows}
+
+
+def brute_entropy(learn, alphabet, text, order=4):
+    """Interpolated Kneser-Ney from counters of tuples: cross-entropy per symbol of a text."""
+    def symbols(t):
+        out = []
+        for c in t.lower() + "\0":
+            s = (c if c in alphabet else "?") if c.isalpha() else 0
+            if s or (out and out[-1]):
+                out.append(s)
+        return out
+
+    def grams(s, n):
+        return [tuple([0] * (n - 1 - k) + s[max(0, k - n + 1) : k + 1]) for k in range(len(s))]
+
+    tables = {order: collections.Counter(g for t in learn for g in grams(symbols(t), order))}
+    for n in range(order - 1, 0, -1):
+        tables[n] = collections.Counter(g[1:] for g in tables[n + 1])
+
+    def p(gram, n):
+        if n == 0:
+            return 1 / (len(alphabet) + 1)
+        table = tables[n]
+        n1, n2 = (sum(c == k for c in table.values()) for k in (1, 2))
+        d = min(0.9, n1 / (n1 + 2 * n2)) if n1 and n2 else 0.5
+        own = [c for g, c in table.items() if g[:-1] == gram[:-1]]
+        lower = p(gram[1:], n - 1)
+        return max(table[gram] - d, 0) / sum(own) + d * len(own) / sum(own) * lower if own else lower
+
+    return -sum(math.log10(p(g, order)) for g in grams(symbols(text), order)) / len(symbols(text))
+
+
+def test_entropies_equal_brute_force(spark):
+    r = random.Random(3)
+    make = lambda letters, k: " ".join("".join(r.choices(letters, k=r.randint(1, 6))) for _ in range(k))
+    rows = [(k, make("aabcd", 12), "aa") for k in range(20)] + [(100 + k, make("abxyyz", 12), "bb") for k in range(20)]
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    alphabet = set(map(chr, models.alphabet))
+    texts = ['"ab cd', "xyz", "abxy dc!", "q abc"]
+    found, _ = langid._entropies(models, models.numbers(), texts)
+    for j, lang in enumerate(models.languages):
+        own = sorted((str(i), t) for i, t, x in rows if x == lang)
+        learn = [t for k, (_, t) in enumerate(own) if k % 10]
+        for k, t in enumerate(texts):
+            assert found[k, j] == pytest.approx(brute_entropy(learn, alphabet, t), rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
