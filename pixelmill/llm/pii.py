@@ -1,12 +1,14 @@
 """Personal data: fixed patterns, and a conditional random field that finds what they miss.
 
-The field labels words (runs other than space and 0x09-0x0D) from features of their shapes and their neighbours'. It is
+The field labels words (runs other than space and 0x09-0x0D; one of more than LONGEST bytes, as in unspaced tables, markup
+or scripts without spaces, is cut at what numbers and addresses don't hold) from features of their shapes and their
+neighbours'. It is
 trained from :func:`labelled`, a small table made here. A word without digit and without @ is always outside, so a text
 decomposes exactly into runs of other words, and Viterbi decodes the runs of many texts at once in numpy. Its spans
 are added where they overlap no span of the patterns; those stay as they are.
 
 Null texts count as empty and have no spans. Every text is searched whole; all patterns run in time near linear in its
-length. Repeated rows give equal rows; other columns pass through, except one named like the output, which it replaces.
+length. Repeated rows give equal rows; an empty table gives an empty one; other columns pass through, except one named like the output, which it replaces.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pixelmill.llm import kernel, spans
 from pixelmill.llm.crf import Crf, train
 
 KINDS = ("email", "ip", "card", "phone")
+#: Characters of a word that has a shape; longer ones are cut up.
+LONGEST = 64
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -91,11 +95,13 @@ def is_free(word: str) -> bool:
     return "@" in word or any("0" <= c <= "9" for c in word)
 
 
-@lru_cache(maxsize=1 << 16)
 def _own(word: str) -> tuple[str, ...]:
-    """Features of a word by itself; one of more than 64 characters counts as long and has no shape."""
-    if len(word) > 64:
-        return ("long", "@" if "@" in word else "no @")
+    """Features of a word by itself; one of more than LONGEST characters counts as long and has no shape."""
+    return _shaped(word) if len(word) <= LONGEST else ("long", "@" if "@" in word else "no @")
+
+
+@lru_cache(maxsize=1 << 14)
+def _shaped(word: str) -> tuple[str, ...]:
     core = word.strip(".,;:!?\"'|#*$%&<>")
     shape = _shape(core)
     digits = _NOT_DIGIT.sub("", core)
@@ -106,9 +112,13 @@ def _own(word: str) -> tuple[str, ...]:
     )
 
 
-@lru_cache(maxsize=1 << 16)
 def _near(word: str) -> str:
-    return _runs(_shape(word[:24].strip(".,;:!?\"'|#*$%&<>"))) if is_free(word[:64]) else word[:12].lower() if word.isascii() and word[:12].lower() in _CUES else "w"
+    return _beside(word[:LONGEST])
+
+
+@lru_cache(maxsize=1 << 14)
+def _beside(word: str) -> str:
+    return _runs(_shape(word[:24].strip(".,;:!?\"'|#*$%&<>"))) if is_free(word) else word[:12].lower() if word.isascii() and word[:12].lower() in _CUES else "w"
 
 
 _CUES = frozenset("call phone tel tel: phone: mobile fax card card: visa ip ip: host from mail email email: version page room item order id id: chapter year".split())
@@ -169,16 +179,36 @@ def fit(table: list[list[tuple[str, str]]]) -> Crf:
     return train(LABELS, rows)
 
 
-_CLUE = np.zeros(256, bool)
+_CLUE, _JOINED = np.zeros(256, bool), np.zeros(256, bool)
 _CLUE[[*range(48, 58), 64]] = True
+_JOINED[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@.+()_%:/-")] = True
+
+
+def _cut_long(data: np.ndarray, clue: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, with those of more than LONGEST bytes that hold a clue cut to runs of the characters that numbers and addresses are made of."""
+    long = np.flatnonzero((ends - starts > LONGEST) & (clue[ends] > clue[starts]))
+    if not len(long):
+        return starts, ends, first
+    new = [(starts, ends)]
+    for k in long.tolist():
+        inside = np.concatenate(([False], _JOINED[data[starts[k] : ends[k]]], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + starts[k]
+        new.append((edges[::2], edges[1::2]))
+    a, b = (np.concatenate(x) for x in zip(*new, strict=True))
+    keep = np.ones(len(a), bool)
+    keep[long] = False
+    order = np.argsort(a[keep], kind="stable")
+    a, b = a[keep][order], b[keep][order]
+    bounds = np.append(starts, len(data))[first]  # where each row's first word begins
+    return a, b, np.searchsorted(a, bounds)
 
 
 def modelled(field: Crf, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[str, int, int]]]:
     """The field's spans by row, as byte ranges within the row."""
     rows: list[list[tuple[str, int, int]]] = [[] for _ in range(len(offsets) - 1)]
-    starts, ends, first = kernel.word_spans(data, offsets)
     clue = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_CLUE[data], out=clue[1:])
+    starts, ends, first = _cut_long(data, clue, *kernel.word_spans(data, offsets))
     free = np.flatnonzero(clue[ends] > clue[starts])
     if not len(free):
         return rows

@@ -57,6 +57,17 @@ def test_rows_alone_and_together():
         assert whole == find(pa.record_batch({"spans": texts[::-1]}), "spans")[::-1]
 
 
+def test_personal_data_in_unspaced_text():
+    find = pii.finder(pii.default_field())
+    import pyarrow as pa
+
+    pad = "".join(f'"key{k}":"value",' for k in "abcdefgh")
+    texts = ["{" + pad + '"phone":"(184)555-7766","next":"x"}', "電話番号は" * 10 + "(184)555-7766" + "です" * 20]
+    for t, row in zip(texts, find(pa.record_batch({"spans": texts}), "spans"), strict=True):
+        assert "(184)555-7766" in [t[a:b] for k, a, b, _ in row if k == "phone"]
+    assert find(pa.record_batch({"spans": ["a1" * 60, "x9/" * 40, pad]}), "spans") == [[], [], []]
+
+
 @pytest.mark.parametrize(("module", "brute", "kinds"), [(pii, brute_pii, pii.KINDS), (secrets, brute_secrets, secrets.BASE_KINDS)])
 def test_odd_rows(odd, none, module, brute, kinds):
     extra = [(90, "call +1 (184) 555-7766 or mail ab.c@mail.example.com é token = '24be64439e3e49cf46b2d7c90f3602a3d0b907ff'")]
