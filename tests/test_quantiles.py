@@ -8,8 +8,9 @@ from pixelmill.operators import patches, quantiles
 FRACTIONS = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.98, "e": 1.0}
 
 
-@pytest.mark.parametrize(("bins", "rounds"), [(4, 2), (64, 1), (2048, 2), (8, 0)])
-def test_percentiles_equal_numpy(spark, bins, rounds):
+@pytest.mark.parametrize(("bins", "rounds", "at_once"), [(4, 2, 0), (64, 1, 0), (2048, 2, 0), (8, 0, 0), (8, 3, 100), (2048, 2, 1 << 20)])
+def test_percentiles_equal_numpy(spark, monkeypatch, bins, rounds, at_once):
+    monkeypatch.setattr(quantiles, "SORTED", at_once)
     r = random.Random(bins)
     groups = {
         "even": [r.random() for _ in range(1000)], "heavy": [r.paretovariate(0.3) for _ in range(777)], "ties": [r.choice((0.0, 1.0, 1.0 + 1e-15, 5.0)) for _ in range(500)],
