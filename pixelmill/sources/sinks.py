@@ -66,6 +66,9 @@ def write_npy_patches(df: DataFrame, path: str, size: int) -> DataFrame:
                     fs.move(temporary, own)
             yield pd.DataFrame({"set_name": frame.set_name, "n": np.ones(len(frame), np.int64)})
 
+    fs, root = file_system(path)
+    for name in SETS:  # a split without patches is an empty folder
+        fs.create_dir(f"{root}/{name}", recursive=True)
     written = df.select("set_name", "number", "features", "labels").mapInPandas(run, "set_name string, n long")
     rows = written.groupBy("set_name").agg(F.sum("n").alias("n")).collect()  # a row per split
     return df.sparkSession.createDataFrame([tuple(r) for r in rows], "set_name string, n long")

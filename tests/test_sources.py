@@ -123,7 +123,7 @@ def test_npy_patches_are_written_and_read(spark, tmp_path):
     df = spark.createDataFrame(rows, "set_name string, number int, features array<array<float>>, labels array<int>")
     for _ in range(2):  # a repeated run replaces the files
         assert {r.set_name: r.n for r in sinks.write_npy_patches(df, f"{tmp_path}/p", 2).collect()} == {"train": 2, "test": 1}
-    assert sorted(str(p.relative_to(tmp_path / "p")) for p in (tmp_path / "p").rglob("*")) == ["test", "test/patch_0000_feature.npy", "test/patch_0000_label.npy", "train", *[f"train/patch_000{k}_{x}.npy" for k in (0, 1) for x in ("feature", "label")]]
+    assert sorted(str(p.relative_to(tmp_path / "p")) for p in (tmp_path / "p").rglob("*")) == ["test", "test/patch_0000_feature.npy", "test/patch_0000_label.npy", "train", *[f"train/patch_000{k}_{x}.npy" for k in (0, 1) for x in ("feature", "label")], "val"]
     x = np.load(tmp_path / "p/train/patch_0001_feature.npy")
     assert x.dtype == np.float32 and x.shape == (2, 2, 2) and np.isnan(x[0, 0, 1]) and x[0, 0, 0] == 1
     y = np.load(tmp_path / "p/train/patch_0001_label.npy")
