@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import http.server
 import json
+import threading
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +16,7 @@ from pixelmill.operators import catalog, dataset, patches
 from pixelmill.plans import queries as q
 from pixelmill.plans import tables as t
 from pixelmill.plans.queries import query
-from pixelmill.sources import config, raster, scenes, sinks, tiff
+from pixelmill.sources import client, config, raster, scenes, sinks, tiff
 from pixelmill.sources.scratch import Scratch
 from pixelmill.streaming import incremental
 
@@ -262,3 +264,142 @@ def report_entries(spark: SparkSession, d: str) -> DataFrame:
     report.add("patch_split", {"seed": np.int64(3), "n": np.int32(7)}, aoi="south")
     report.add("paths", {"root": Path("/data")})
     return sinks.report_table(spark, report).select("step", "data", F.col("metadata")["aoi"].alias("aoi"), F.col("ts").endswith("+00:00").alias("is_utc"))
+
+
+# --- a service, folders, and what configurations give and refuse
+
+
+class _Service:
+    """A catalogue of a few items on this machine, ten a page; every other request is refused at first."""
+
+    def __init__(self, items: list[dict]):
+        service, self.refused = self, set()
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def log_message(self, *args: object) -> None:
+                pass
+
+            def do_POST(self) -> None:
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                self._answer(int(body.get("from", 0)), body)
+
+            def _answer(self, start: int, body: dict) -> None:
+                if start not in service.refused and start % 20 == 0:
+                    service.refused.add(start)
+                    self.send_response(503)
+                    self.send_header("Retry-After", "0")
+                    self.end_headers()
+                    return
+                most = body["query"]["eo:cloud_cover"]["lt"]
+                found = [i for i in items if i["properties"]["eo:cloud_cover"] < most]
+                page: dict = {"features": found[start : start + 10]}
+                if start + 10 < len(found):
+                    page["links"] = [{"rel": "next", "method": "POST", "href": f"{service.url}/search", "body": body | {"from": start + 10}}]
+                raw = json.dumps(page).encode()
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(raw)
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+@query("select 'N' || n_nationkey as id, n_nationkey * 2.0::double as cloud_cover, 'MGRS-' || n_name as grid_code, n_nationkey - 9.0::double as west, 'u' || n_nationkey as href from nation where n_nationkey * 2 < 45")
+def catalogue_service(spark: SparkSession, d: str) -> DataFrame:
+    """A search of a service on this machine: pages are followed, refused requests are tried again."""
+    rows = t.table(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    items = [{"id": f"N{r.n_nationkey}", "datetime": "2021-03-04T05:06:07Z", "bbox": [r.n_nationkey - 9, 0, r.n_nationkey - 8, 1], "properties": {"eo:cloud_cover": r.n_nationkey * 2.0, "grid:code": f"MGRS-{r.n_name}"}, "assets": {"B02_10m": {"href": f"u{r.n_nationkey}"}}} for r in rows]
+    service = _Service(items)
+    try:
+        found = client.StacClient(config.Stac(service.url, "c"), sleep=lambda s: None).search(spark, (-9, 0, 20, 1), "2021-01-01", "2021-12-31", 45.0)
+        return found.select("id", F.col("properties.`eo:cloud_cover`").alias("cloud_cover"), F.col("properties.`grid:code`").alias("grid_code"), F.col("bbox")[0].alias("west"), F.col("assets")["B02_10m"]["href"].alias("href"))
+    finally:
+        service.server.shutdown()
+        service.server.server_close()
+
+
+@query(f"with {t.COMPOSITE_SQL} select season, count(*) as n, count(red) as n_red from composite group by season")
+def season_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Composites by folders of seasons; a folder of another name is passed over."""
+    where = Scratch(spark, "seasons").path("composite")
+    made = q._composite(spark, d).select("season", "row", "col", "red")
+    made.unionByName(made.limit(1).withColumn("season", F.lit("extra"))).write.partitionBy("season").parquet(where)
+    return scenes.season_stack(spark, where).groupBy("season").agg(F.count("*").alias("n"), F.count("red").alias("n_red"))
+
+
+_SLUG = "regexp_replace(replace(lower('Part (' || p_name || ') By ' || p_brand), ' ', '_'), '[()]', '', 'g')"
+
+
+@query(f"select p_partkey, {_SLUG} as slug from part")
+def figure_slugs(spark: SparkSession, d: str) -> DataFrame:
+    title = F.concat(F.lit("Part ("), F.col("p_name"), F.lit(") By "), F.col("p_brand"))
+    return t.table(spark, d, "part").select("p_partkey", names.slug(title).alias("slug"))
+
+
+def _config(**change: dict) -> dict:
+    raw = {
+        "aoi": {"year": 2021, "size": 50000, "candidates": {"south": [-4.7, 37.2]}, "selected": "south"}, "stac": {"url": "https://example.org", "collection": "c"},
+        "msi": {"target_resolution": 10, "band_order": ["blue", "red", "scl"], "bands": {"10": {"B02_10m": "blue", "B04_10m": "red"}, "20": {"SCL_20m": "scl"}}},
+        "composites": {"seasons": {"DJF": ["2021-12-01", "2022-02-28"]}}, "labels": {"year": 2021, "version": "v200", "class_map": {"10": 1}}, "patches": {"size": 256, "block_size": 1024},
+    }
+    return {k: v | change.get(k, {}) for k, v in raw.items()}
+
+
+_REFUSED = {
+    "duplicate band": {"msi": {"band_order": ["blue", "blue", "scl"]}}, "unknown band": {"msi": {"band_order": ["blue", "nir", "scl"]}}, "no scene classes": {"msi": {"band_order": ["blue", "red"], "bands": {"10": {"B02_10m": "blue", "B04_10m": "red"}}}},
+    "unknown resolution": {"msi": {"target_resolution": 15}}, "no address": {"stac": {"url": ""}}, "no collection": {"stac": {"collection": ""}}, "block of no whole patches": {"patches": {"block_size": 1000}},
+    "split without test": {"patches": {"split": {"train": 0.5, "val": 0.5}}}, "split beyond one": {"patches": {"split": {"train": 0.9, "val": 0.1, "test": 0.1}}}, "falling percentiles": {"patches": {"percentiles": [99, 1]}},
+    "unknown area": {"aoi": {"selected": "north"}}, "none": {},
+}
+
+
+@query("select * from (values " + ", ".join(f"('{k}', {str(bool(v)).lower()})" for k, v in _REFUSED.items()) + ") v(fault, refused)")
+def refused_configurations(spark: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for fault, change in _REFUSED.items():
+        try:
+            config.from_dict(_config(**change))
+            rows.append((fault, False))
+        except ValueError:
+            rows.append((fault, True))
+    return spark.createDataFrame(rows, "fault string, refused boolean")
+
+
+@query("select * from (values ('num_bands', '3'), ('scl_band_index', '2'), ('patches_per_block', '4'), ('reference_asset', 'SCL_20m'), ('channels', 'blue,red,NDVI,NDBI,NDWI'), ('class_map', '10->1'), ('blocks', '10'), ('raw', '/r/raw/season=DJF'), ('labels', '/r/labels')) v(name, value)")
+def derived_configuration(spark: SparkSession, d: str) -> DataFrame:
+    c, paths = config.from_dict(_config()), config.Paths("/r")
+    rows = [("num_bands", c.msi.num_bands), ("scl_band_index", c.msi.scl_band_index), ("patches_per_block", c.patches.patches_per_block), ("reference_asset", c.msi.reference_asset(20)), ("channels", ",".join(c.msi.channels))]
+    rows += [("class_map", "; ".join(f"{a}->{b}" for a, b in c.labels.class_map.items())), ("blocks", config.validated_raster(10240, 1024)), ("raw", paths.raw("DJF")), ("labels", paths.labels)]
+    return spark.createDataFrame([(k, str(v)) for k, v in rows], "name string, value string")
+
+
+@query(f"""with {t.ITEMS_SQL}, i as (select candidate, {t.SEASON_SQL.format('datetime')} as season, upper(trim(regexp_replace(grid_code, '^MGRS-', ''))) as tile from items where cloud_cover < 10),
+n as (select candidate, count(*) filter (where season = 'DJF') as djf, count(*) filter (where season = 'MAM') as mam, count(*) filter (where season = 'JJA') as jja, count(*) filter (where season = 'SON') as son, count(distinct tile) as n_tiles from i group by candidate)
+select 'area' || candidate as candidate, djf::bigint as djf, n_tiles::bigint as n_tiles, djf + mam + jja + son >= 30 and least(djf, mam, jja, son) >= 5 as is_valid from n""")
+def candidate_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """The report of all areas: tiles, scenes by season, and which are good enough."""
+    items = t.stac_items(spark, d).where("cloud_cover < 10").withColumn("candidate", F.concat(F.lit("area"), "candidate"))
+    boxes = {r.candidate: (0.0, 0.0, 1.0, 1.0) for r in items.select("candidate").distinct().orderBy("candidate").collect()}
+    found = sinks.analysis(boxes, items.select("candidate", names.tile_id(F.col("grid_code")).alias("tile")), catalog.season_counts(items), 30, 5)
+    raw = json.loads(json.dumps(found, default=sinks.encoded))
+    rows = [(c, r["scene_counts"]["DJF"], len(r["grid_code"]), c in raw["valid_candidates"]) for c, r in raw["candidates_results"].items()]
+    return spark.createDataFrame(rows, "candidate string, djf long, n_tiles long, is_valid boolean")
+
+
+@query(f"""with {q._LABELLED}, sets as (select * from (values ('train'), ('val'), ('test')) v(set_name)),
+c as (select set_name, idx, count(*) as n from placed where idx <> 255 group by all),
+per as (select s.set_name, string_agg(coalesce(c.n, 0)::varchar, ',' order by k.idx) as counts from sets s cross join known k left join c on c.set_name = s.set_name and c.idx = k.idx group by s.set_name),
+n as (select set_name, count(*) as n_patches from numbered group by set_name), lost as (select count(*) as n_discarded from fractions where nan_fraction > {q._MOST_MISSING})
+select set_name, coalesce(n_patches, 0)::bigint as n_patches, counts as class_counts, (select seed from best)::bigint as seed, n_discarded::bigint as n_discarded, (select count(*) from kept where keep and seed = (select seed from best))::bigint as n_kept from per left join n using (set_name), lost""")
+def patches_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What the JSON beside the patches says of each split."""
+    scratch = Scratch(spark, "metadata")
+    kept = scratch.write(q._kept(spark), "kept")
+    seed = int(q.split.best_seed(q._scores(spark, d, kept)).first().seed)
+    fractions = scratch.write(patches.missing_fraction(q._inside(spark, d), list(q._STACKED)), "fractions")
+    classes = [r["class"] for r in q.labels.remap_table(t.label_raster(spark, d)).orderBy("idx").collect()]  # 255 at most
+    made = sinks.patches_metadata(seed, q.RADIUS, t.PATCH, t.BLOCK, list(pixel.SEASONS), names.channel_names(), {c: k for k, c in enumerate(classes)}, q.NAMES | {5: "built"}, kept.where(F.col("seed") == seed), fractions, patches.split_class_counts(q._placed(spark, d)), q._MOST_MISSING)
+    raw = json.loads(json.dumps(made))
+    rows = [(s, raw["patches_per_split"][s], ",".join(map(str, raw["class_counts_per_split"][s])), raw["seed"], len(raw["discarded"]), sum(map(sum, raw["keep_mask"]))) for s in q.split.SETS]
+    return spark.createDataFrame(rows, "set_name string, n_patches long, class_counts string, seed long, n_discarded long, n_kept long")
