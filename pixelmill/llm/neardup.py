@@ -9,7 +9,9 @@ buckets borrow from a pseudo-random non-empty one, so short documents band like
 3. A pair's registers give a Jaccard estimate, corrected for colliding registers; pairs far below the threshold go.
 4. The rest is confirmed on the full shingle sets, recomputed from the texts.
 5. Buckets whose other members are still of several components are compared member by member, without texts, in blocks
-   of at most 2 x BLOCK members whose size doesn't grow with the bucket: by registers, and then, where both sets have no
+   of at most 2 x BLOCK members whose size doesn't grow with the bucket. Members of the bucket's largest component need no
+   comparison among themselves and are sent only where the others are, so a large group of copies with a few strangers
+   costs rows in proportion to its size. Blocks are compared by registers, and then, where both sets have no
    more shingles than there are registers, by 32 bits of every shingle, which can only overstate what sets share.
    Promising pairs of different components are confirmed likewise. So no pair that shares a band is left out, no pair of rows is made but for promising ones,
    and a bucket that is one component, however large, costs rows in proportion to its size.
@@ -218,10 +220,18 @@ def _block_pairs(part: np.ndarray, i: int, j: int, ids: np.ndarray, comps: np.nd
 
 
 def promising_in_buckets(inside: DataFrame) -> DataFrame:
-    """Promising pairs (a, b) of different components within buckets, from (key, members, id, component, n, registers, brief)."""
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", "key"), parts).cast("int")
-    placed = inside.withColumns({"parts": parts, "part": own}).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    """Promising pairs (a, b) of different components within buckets.
+
+    From (key, id, component, n, registers, brief, main, n_main, n_rest): whether the member is of the bucket's largest
+    component, and how many are and aren't. The rest fills the first parts, the largest component those after them, and
+    each part of the rest meets every part; parts of the largest component don't meet each other.
+    """
+    cut = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    place = lambda parts: F.pmod(F.xxhash64("id", "key"), parts).cast("int")
+    counted = inside.withColumns({"rest_parts": cut("n_rest"), "main_parts": cut("n_main")})
+    last = F.when(F.col("main"), F.col("rest_parts")).otherwise(F.col("rest_parts") + F.col("main_parts")) - 1
+    part = F.when(F.col("main"), F.col("rest_parts") + place(F.col("main_parts"))).otherwise(place(F.col("rest_parts")))
+    placed = counted.withColumn("part", part).select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     block = [F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")]
     dealt = placed.select("key", *block, "part", "id", "component", "n", "registers", "brief").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -300,9 +310,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     links = scratch.write(links.unionByName(same_id).distinct(), "links")
     found = components(links, scratch, "cc0_")
     # pairs with the pivot are done; a bucket is open while its other members differ
-    others = members.where("members > 2").join(found, "id", "left").select("key", "members", "id", F.coalesce("component", "id").alias("component"))
-    several = others.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    inside = scratch.write(others.join(several, "key", "left_semi"), "open")
+    others = members.where("members > 2").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    by_component = others.groupBy("key", "component").agg(F.count("*").alias("c"))
+    several = by_component.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("total"), F.count("*").alias("k")).where("k > 1")
+    several = several.select("key", F.col("most.component").alias("largest"), F.col("most.c").alias("n_main"), (F.col("total") - F.col("most.c")).alias("n_rest"))
+    inside = scratch.write(others.join(several, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("main"), "n_main", "n_rest"), "open")
     texts = docs.join(inside.select(F.col("id").alias("_open")).distinct(), docs[id].cast("long") == F.col("_open"), "left_semi")
     brief = scratch.write(brief_sets(texts, id, text).groupBy("id").agg(F.when(F.count("*") == 1, F.first("brief")).alias("brief")), "brief")
     more = link(promising_in_buckets(inside.join(sketches, "id").join(brief, "id", "left")).distinct(), 1)
