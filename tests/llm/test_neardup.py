@@ -76,20 +76,6 @@ def test_open_buckets_are_split_into_blocks(spark, monkeypatch):
     test_chains_and_groups(spark)
 
 
-def test_strangers_in_a_bucket_meet_all_and_copies_dont(spark, monkeypatch):
-    """Blocks of a bucket with one large component: every pair with a stranger is met once, pairs of copies never."""
-    monkeypatch.setattr(neardup, "BLOCK", 4)
-    met = []
-    regs = np.zeros(420, np.uint16).tobytes()
-    rows = [(1, k, 0 if k < 41 else k, 50, bytearray(regs), None, k < 41, 41, 9) for k in range(50)]
-    df = spark.createDataFrame(rows, "key long, id long, component long, n long, registers binary, brief binary, main boolean, n_main long, n_rest long")
-    found = neardup.promising_in_buckets(df)
-    met = sorted((r.a, r.b) for r in found.collect())
-    assert met == sorted((a, b) for a in range(50) for b in range(a + 1, 50) if b >= 41)
-    plan = found._jdf.queryExecution().toString()
-    assert "Generate" in plan
-
-
 def test_ids_that_repeat_with_other_texts(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
