@@ -482,7 +482,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
         finally:
             encoder.forget()
 
-    return docs.select(*[docs[c] for c in keep], docs[text].alias(schema.names[-1])).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs[text].alias(schema.names[-1])).mapInArrow(kernel.tidied(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -496,4 +496,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             for a, b, found in decoder.decode(batch.column(len(keep))):
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], found], names=[*keep, "decoded"])
 
-    return encoded.select(*[encoded[c] for c in keep], encoded[ids].alias("decoded")).mapInArrow(run, schema)
+    return encoded.select(*[encoded[c] for c in keep], encoded[ids].alias("decoded")).mapInArrow(kernel.tidied(run), schema)

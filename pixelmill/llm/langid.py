@@ -204,7 +204,7 @@ def identify(docs: DataFrame, models: Models, text: str = "text", carry: list[st
                 found = _score(own, number, [t or "" for t in part.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found[0], pa.string()), pa.array(found[1]), pa.array(found[2])], names=[*keep, *names])
 
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("lang_pred")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs[text].alias("lang_pred")).mapInArrow(kernel.tidied(run), schema)
 
 
 def remainder(id: Column, folds: int) -> Column:

@@ -119,7 +119,7 @@ def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
                 digests = [pa.array(kernel.row_sums(kernel.mix(sets ^ np.uint64(salt)), at).view(np.int64)) for salt in (0x51ED270B, 0xA24BAED4963EE407)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), *digests, column], names=["id", "n", "d1", "d2", "registers"])
 
-    return docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, registers binary")
+    return docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(kernel.tidied(run), "id long, n long, d1 long, d2 long, registers binary")
 
 
 def bands(sketches: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -139,7 +139,7 @@ def bands(sketches: DataFrame, rows: int = ROWS) -> DataFrame:
             sizes = np.repeat(batch.column("n").to_numpy(), n)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids), pa.array(sizes)], names=["key", "id", "n"])
 
-    return sketches.select("id", "n", "registers").mapInArrow(run, "key long, id long, n long")
+    return sketches.select("id", "n", "registers").mapInArrow(kernel.tidied(run), "key long, id long, n long")
 
 
 def collision_rate(n: np.ndarray, m: np.ndarray, k: int = REGISTERS) -> np.ndarray:
@@ -180,7 +180,7 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array((estimate(*regs, n, m) >= _FLOOR) | (np.maximum(n, m) <= TINY)))
 
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(kernel.tidied(run), "a long, b long")
 
 
 def brief_sets(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -193,7 +193,7 @@ def brief_sets(docs: DataFrame, id: str, text: str) -> DataFrame:
                 low = [np.sort(sets[x:y].astype(np.uint32)).tobytes() if y - x <= REGISTERS else None for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(low, pa.binary())], names=["id", "brief"])
 
-    return docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, "id long, brief binary")
+    return docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(kernel.tidied(run), "id long, brief binary")
 
 
 def _brief_allow(a: np.ndarray | None, b: np.ndarray | None) -> bool:
@@ -254,7 +254,7 @@ def promising_in_buckets(inside: DataFrame) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(kernel.tidied(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,7 +274,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id: str = "doc_id", text: str =
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: docs.select(docs[id].cast("long").alias(x), docs[text].alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(kernel.tidied(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -279,7 +279,7 @@ def redact(docs: DataFrame, text: str = "text", field: Crf | None = None) -> Dat
             new = [None if t is None else spans.redacted(t, [s[:3] for s in row]) if row else t for t, row in zip(old, found, strict=True)]
             yield kernel.replace_column(batch, text, pa.array(new, batch.schema.field(text).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel.tidied(run), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def ledger(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     total = bits[0]
     for bit in bits[1:]:
         total = total.bitwiseOR(bit)
-    return source.mapInArrow(measure, schema).withColumn("failed_bits", total.cast("long"))
+    return source.mapInArrow(kernel.tidied(measure), schema).withColumn("failed_bits", total.cast("long"))
 
 
 def failed(policy: Policy) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelmill.llm import kernel
+
 #: base: found by the fixed patterns; otherwise added by the model.
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
@@ -26,7 +28,7 @@ def with_spans(docs: DataFrame, find: Callable[[pa.RecordBatch, str], list[list[
             rows = [[dict(zip(("kind", "start", "end", "base"), x, strict=True)) for x in sorted(row, key=lambda x: (x[1], place[x[0]], x[2]))] for row in find(batch, name)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, _ARROW)], names=[*keep, name])
 
-    return docs.select(*[docs[c] for c in keep], docs[text].alias(name)).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs[text].alias(name)).mapInArrow(kernel.tidied(run), schema)
 
 
 def written(spans: Column) -> Column:
